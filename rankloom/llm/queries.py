@@ -5,11 +5,12 @@ from __future__ import annotations
 from rankloom.llm.mixing import OP2_SQL, op2_mixing
 from rankloom.llm.packing import op5_best_fit_packing
 from rankloom.llm.quality import OP10_SQL, op10_quality_rules
+from rankloom.llm.simhash import op8_simhash
 from rankloom.llm.tokens import op4_token_files
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_mixing, op4_token_files, op5_best_fit_packing, op10_quality_rules)}
+    return {f.__name__: f for f in (op2_mixing, op4_token_files, op5_best_fit_packing, op8_simhash, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
