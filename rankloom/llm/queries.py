@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from rankloom.llm.language import op9_language
 from rankloom.llm.mixing import OP2_SQL, op2_mixing
 from rankloom.llm.packing import op5_best_fit_packing
 from rankloom.llm.quality import OP10_SQL, op10_quality_rules
@@ -10,7 +11,7 @@ from rankloom.llm.tokens import op4_token_files
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_mixing, op4_token_files, op5_best_fit_packing, op8_simhash, op10_quality_rules)}
+    return {f.__name__: f for f in (op2_mixing, op4_token_files, op5_best_fit_packing, op8_simhash, op9_language, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
