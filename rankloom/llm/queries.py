@@ -8,11 +8,12 @@ from rankloom.llm.packing import op5_best_fit_packing
 from rankloom.llm.quality import OP10_SQL, op10_quality_rules
 from rankloom.llm.simhash import op8_simhash
 from rankloom.llm.spotsigs import op1_spotsigs
+from rankloom.llm.substrings import op3_substrings
 from rankloom.llm.tokens import op4_token_files
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_spotsigs, op2_mixing, op4_token_files, op5_best_fit_packing, op8_simhash, op9_language, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_spotsigs, op2_mixing, op3_substrings, op4_token_files, op5_best_fit_packing, op8_simhash, op9_language, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
