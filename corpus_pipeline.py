@@ -1,7 +1,70 @@
-"""The corpus pipeline."""
-STAGES = []
+"""The corpus pipeline: documents of a known language, without repeated lines and near copies, mixed and packed.
+
+Each stage takes (spark, docs, sf_dir) and returns rows that are written before the next one reads them.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from rankloom.llm.common import documents
+from rankloom.llm.language import UNKNOWN, identified, in_held_out_fold, train
+from rankloom.llm.lines import without_near_lines
+from rankloom.llm.mixing import copies
+from rankloom.llm.packing import packed_documents
+from rankloom.llm.simhash import near_duplicates
+from rankloom.session import written
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: A document goes if less than this share of its words is of one language.
+LEAST_SHARE = 0.5
+
+
+def _columns(df: DataFrame) -> DataFrame:
+    """The columns of documents; n_chars follows the text."""
+    return df.withColumn("n_chars", F.char_length("text").cast("long")).select(COLUMNS)
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter go, and those of no predominant language. lang is the predicted one."""
+    found = identified(docs, train(docs, in_held_out_fold(F.col("doc_id")))).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SHARE))
+    return _columns(docs.join(found, F.col("doc_id") == F.col("id")).withColumn("lang", F.col("lang_pred")))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that repeat an earlier one go; documents of which no word is left by that go too."""
+    out = without_near_lines(docs)
+    return _columns(out.filter((F.col("_n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document of the smallest doc_id stays."""
+    kept = near_duplicates(docs).filter("id = component_id").select("id").distinct()
+    return _columns(docs.join(kept, F.col("doc_id") == F.col("id"), "left_semi"))
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
+    return _columns(copies(docs))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents, with copies as documents of their own, in their sequences."""
+    return packed_documents(docs)
+
+
+STAGES = [("language", language), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("mixing", mixing), ("packing", packing)]
+
+#: SQL can't express the trained model, MinHash or tokens; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; each result but the last is written and read again."""
+    docs = documents(spark, sf_dir)
+    for i, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i + 1 < len(STAGES):
+            docs = written(docs, name)
+    return docs

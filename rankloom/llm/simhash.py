@@ -15,6 +15,7 @@ from rankloom.llm.tokens import batches_of
 from rankloom.session import written
 
 BITS = 64
+BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 #: Groups of at most so many fingerprints are compared pair by pair, in blocks; larger ones are split further first.
 DIRECT = 1500
 
@@ -37,10 +38,11 @@ def majority(hashes: np.ndarray) -> int:
     """Bits set in over half of the hashes."""
     if not len(hashes):
         return 0
-    count = np.zeros(BITS, dtype=np.int64)
     raw = hashes.astype(">u8").view(np.uint8).reshape(-1, 8)
-    for a in range(0, len(raw), 1 << 16):
-        count += np.unpackbits(raw[a : a + (1 << 16)], axis=1).sum(axis=0, dtype=np.int64)
+    if len(raw) < 500:
+        count = np.unpackbits(raw, axis=1).sum(axis=0, dtype=np.int64)
+    else:  # how often each byte occurs in each place, times its bits
+        count = np.concatenate([np.bincount(raw[:, k], minlength=256) @ BYTE_BITS for k in range(8)])
     return int.from_bytes(np.packbits(count * 2 > len(hashes)).tobytes(), "big")
 
 
@@ -172,3 +174,187 @@ def op8_simhash(spark, sf_dir: str) -> DataFrame:
     fps = written(with_fingerprint(documents(spark, sf_dir), 3), "fingerprints")
     out = near_components(fps, 3)
     return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+# --- near duplicates by likeness ------------------------------------------------------------------------------------
+#: Fingerprints of two-word shingles that a document has, the radius in each, and what a link must reach: a Jaccard of
+#: LEAST over shingles of WORDS words. Pairs at 0.8 differ in about 6 of 64 bits: 35 % of them in 4 at most, in one of
+#: 8 fingerprints 97 %.
+FINGERPRINTS, RADIUS, WORDS, LEAST = 8, 4, 5, 0.8
+#: Documents that one task compares; larger groups become a grid of pairs of such chunks.
+CHUNK = 4000
+
+
+def remixed(hashes: np.ndarray, k: int) -> np.ndarray:
+    """Hashes for fingerprint k."""
+    with np.errstate(over="ignore"):
+        h = (hashes + np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return h ^ (h >> np.uint64(31))
+
+
+def digests(docs: DataFrame) -> DataFrame:
+    """(id, same, fps): same tells equal texts, null as empty."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            same, fps = [], []
+            for _, texts in batches_of(b.column(1), 16_000_000):
+                for t in texts:
+                    h = shingle_hashes(t, 2)
+                    same.append(xxhash.xxh3_128_digest((t or "").encode("utf-8", "surrogatepass")))
+                    fps.append([signed(majority(remixed(h, k))) for k in range(FINGERPRINTS)])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(same, pa.binary()), pa.array(fps, pa.list_(pa.int64()))], names=["id", "same", "fps"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("id"), "text").mapInArrow(run, "id long, same binary, fps array<long>")
+
+
+def packed_links(reps: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """links() for rows (node, fps) with several fingerprints: pairs within radius in one of them. Fingerprints and
+    nodes travel as packed arrays, dealt by mask and masked bits; what a task needs besides follows from them."""
+    masks = covering_masks(radius)
+    parts = max(2, int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            node = np.asarray(b.column(0))
+            fps = np.asarray(b.column(1).flatten()).view(np.uint64).reshape(len(node), -1)
+            to, table, blob = [], [], []
+            for f in range(fps.shape[1]):
+                for m, mask in enumerate(masks):
+                    with np.errstate(over="ignore"):
+                        part = ((fps[:, f] & np.uint64(mask)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(parts)
+                    order = np.argsort(part, kind="stable")
+                    edges = np.searchsorted(part[order], np.arange(parts + 1))
+                    rows = np.stack([fps[order, f], node[order].view(np.uint64)])
+                    for p in np.flatnonzero(np.diff(edges)).tolist():
+                        to.append(p)
+                        table.append(f * len(masks) + m)
+                        blob.append(rows[:, edges[p] : edges[p + 1]].tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array(table, pa.int32()), pa.array(blob, pa.binary())], names=["part", "table", "rows"])
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, now = [], None
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if not held:
+                return
+            fp, node = np.concatenate(held, axis=1)
+            held.clear()
+            mask = masks[now[1] % len(masks)]
+            key = fp & np.uint64(mask)
+            order = np.lexsort((node, fp, key))
+            fp, node, key = fp[order], node[order], key[order]
+            a, b = [], []
+            edges = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1, [len(key)]])
+            sizes = np.diff(edges)
+            large = np.repeat(sizes > 16, sizes)
+            for d in range(1, min(16, int(sizes.max()))):  # small groups: all pairs, a distance in the order at a time
+                near = (key[d:] == key[:-d]) & ~large[d:] & (np.bitwise_count(fp[d:] ^ fp[:-d]) <= radius)
+                at = np.flatnonzero(near)
+                a.append(node[at])
+                b.append(node[at + d])
+            for k in np.flatnonzero(sizes > 16).tolist():
+                x, y = edges[k], edges[k + 1]
+                # equal fingerprints are a chain; different ones are compared
+                first = np.flatnonzero(np.concatenate([[True], fp[x + 1 : y] != fp[x : y - 1]]))
+                equal = np.flatnonzero(fp[x + 1 : y] == fp[x : y - 1]) + x
+                a.append(node[equal])
+                b.append(node[equal + 1])
+                pairs = np.array(spanning_links(fp[x:y][first], radius, ~mask & ((1 << BITS) - 1)), dtype=np.int64).reshape(-1, 2)
+                a.append(node[x:y][first][pairs[:, 0]])
+                b.append(node[x:y][first][pairs[:, 1]])
+            if a and sum(map(len, a)):
+                pairs = np.stack([np.concatenate(a), np.concatenate(b)], axis=1).view(np.int64)
+                pairs = np.unique(np.sort(pairs, axis=1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))], names=["a", "b"])
+
+        for batch in batches:
+            for p, t, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (p, t) != now:
+                    yield from done()
+                    now = (p, t)
+                held.append(np.frombuffer(blob, dtype=np.uint64).reshape(2, -1))
+        yield from done()
+
+    dealt = reps.select("node", "fps").mapInArrow(deal, "part int, table int, rows binary").repartition(parts, "part").sortWithinPartitions("part", "table")
+    return dealt.mapInArrow(link, "a long, b long").distinct()
+
+
+def verified_groups(docs: DataFrame, members: DataFrame, words: int = WORDS, least: float = LEAST) -> DataFrame:
+    """(a, b): links of members (node, g) of one group g whose word shingles reach a Jaccard of least, enough of them
+    to connect what all such pairs of the group connect."""
+    spark = docs.sparkSession
+    parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [np.unique(shingle_hashes(t, words)).view(np.int64) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int64()))], names=["node", "sh"])
+
+    sizes = members.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("s"))
+    chunk = F.pmod(F.xxhash64("node"), F.col("s")).cast("int")
+    cells = F.transform(F.sequence(F.lit(0), F.col("s") - 1), lambda x: F.struct(F.least(x, F.col("c")).alias("i"), F.greatest(x, F.col("c")).alias("j")))
+    dealt = members.join(sizes, "g").withColumn("c", chunk).select("g", "node", F.explode(cells).alias("cell"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(members.select("node"), "node", "left_semi").mapInArrow(sets, "node long, sh array<long>")
+    rows = dealt.join(texts, "node").select("g", "cell.i", "cell.j", "node", "sh").repartition(parts, "g", "i", "j").sortWithinPartitions("g", "i", "j", "node")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, held, index, parent = None, [], {}, []
+
+        def find(i: int) -> int:
+            while parent[i] != i:
+                parent[i] = parent[parent[i]]
+                i = parent[i]
+            return i
+
+        for b in batches:
+            out = []
+            g, i, j, nodes = (b.column(k).to_pylist() for k in range(4))
+            values, ends = np.asarray(b.column(4).flatten()), np.concatenate([[0], np.cumsum(np.asarray(b.column(4).value_lengths()))])
+            for r, node in enumerate(nodes):
+                if (g[r], i[r], j[r]) != cell:
+                    cell, held, index, parent = (g[r], i[r], j[r]), [], {}, []
+                own = values[ends[r] : ends[r + 1]]
+                me, n = len(held), len(own)
+                held.append((node, own))
+                parent.append(me)
+                # sets that reach least share one of their first few shingles, in any fixed order
+                prefix = own[: n - int(np.ceil(n * least - 1e-9)) + 1].tolist() if n else [None]
+                seen = set()
+                for x in prefix:
+                    for other in index.get(x, ()):
+                        if other in seen or find(other) == find(me):
+                            continue
+                        seen.add(other)
+                        them = held[other][1]
+                        if min(n, len(them)) < least * max(n, len(them)):
+                            continue
+                        shared = len(np.intersect1d(own, them, assume_unique=True))
+                        if shared >= least * (n + len(them) - shared):
+                            parent[find(me)] = find(other)
+                            out.append((held[other][0], node))
+                    index.setdefault(x, []).append(me)
+            if out:
+                a, c = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64())], names=["a", "b"])
+
+    return rows.mapInArrow(compare, "a long, b long")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """(id, component_id) for rows of docs (doc_id, text): documents are linked if their texts are equal, or if their
+    SimHashes collide under a covering mask within RADIUS in one of FINGERPRINTS and their sets of WORDS-word shingles
+    reach a Jaccard of LEAST. component_id is the smallest doc_id that links reach.
+
+    Null texts count as empty, and texts without words are alike. Ids must tell rows apart; an empty table gives an
+    empty one."""
+    rows = written(digests(docs), "digests")
+    reps = written(rows.groupBy("same").agg(F.min("id").alias("node"), F.first("fps").alias("fps")), "reps", "zstd")
+    near = written(packed_links(reps), "links")
+    docs.sparkSession.sparkContext._jvm.System.gc()  # shuffle files of finished steps go now
+    groups = written(components(near).select("node", F.col("component").alias("g")), "groups")
+    links = written(verified_groups(docs, groups), "verified")
+    parts = components(links)
+    named = reps.select("same", "node").join(parts, "node", "left").select("same", F.coalesce("component", "node").alias("component_id"))
+    return rows.select("id", "same").join(named, "same").select("id", "component_id")
