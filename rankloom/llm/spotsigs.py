@@ -96,20 +96,20 @@ def with_following(docs: DataFrame, partitions: int) -> DataFrame:
         return rows.select("bucket", F.lit(0).alias("extra"), "doc_id", "text").filter("false")
     names = [b for b, _ in firsts]
     above = {top: names[(i + 1) % len(names)] for i, (_, top) in enumerate(firsts)}
-    target = F.element_at(F.create_map(*[F.lit(x) for pair in above.items() for x in pair]), F.col("doc_id"))
-    places = F.when(target.isNotNull(), F.array(F.struct("bucket", F.lit(0).alias("extra")), F.struct(target.alias("bucket"), F.lit(1).alias("extra")))).otherwise(F.array(F.struct("bucket", F.lit(0).alias("extra"))))
-    dealt = rows.filter("doc_id is not null").select(F.explode(places).alias("p"), "doc_id", "text").select("p.bucket", "p.extra", "doc_id", "text")
+    # a row for each bucket: as many as partitions
+    tops = docs.sparkSession.createDataFrame(list(above.items()), "_top long, _above int")
+    own = F.struct("bucket", F.lit(0).alias("extra"))
+    places = F.when(F.col("_above").isNotNull(), F.array(own, F.struct(F.col("_above").alias("bucket"), F.lit(1).alias("extra")))).otherwise(F.array(own))
+    dealt = rows.join(F.broadcast(tops), F.col("doc_id") == F.col("_top"), "left").filter("doc_id is not null").select(F.explode(places).alias("p"), "doc_id", "text").select("p.bucket", "p.extra", "doc_id", "text")
     return dealt.repartitionById(len(cuts) + 1, F.col("bucket")).sortWithinPartitions("bucket", "extra", F.desc("doc_id"), F.col("text").asc_nulls_first())
 
 
 def _cuts_below(held, n: int, value):
     """How many of n sorted numbers are below value: halving, a step for each bit of n."""
-    found = F.lit(0)
-    step = 1 << max(0, n.bit_length() - 1)
-    while step:
-        found = F.when((found + step <= n) & (F.get(held, found + step - 1) < value), found + step).otherwise(found)
-        step >>= 1
-    return found
+    steps = [1 << k for k in range(n.bit_length() - 1, -1, -1)]
+    if not steps:
+        return F.lit(0)
+    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda found, step: F.when((found + step <= n) & (F.get(held, found + step - 1) < value), found + step).otherwise(found))
 
 
 OUTPUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
