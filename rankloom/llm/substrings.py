@@ -200,7 +200,7 @@ def found_windows(docs: DataFrame) -> DataFrame:
                 order = np.argsort(to, kind="stable")
                 edges = np.searchsorted(to[order], np.arange(parts + 1))
                 out = [(p, BUCKET, send[order[edges[p] : edges[p + 1]]]) for p in range(parts) if edges[p + 1] > edges[p]]
-                aside = int(r["a"][0] >> np.uint64(40)) % parts if len(r) else 0
+                aside = (int(doc[0]) * 0x9E3779B1 >> 12) % parts  # what needs no more dealing spreads by block
                 out += [(aside, k, v) for k, v in ((GONE, gone), (OWN, own)) if len(v)]
                 yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.int8()), pa.array([o[2].tobytes() for o in out], pa.binary())], names=["part", "kind", "records"])
 
