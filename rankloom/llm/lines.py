@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import components, documents
+from rankloom.llm.common import Linker, components, documents
 from rankloom.llm.tokens import batches_of
 from rankloom.session import written
 
@@ -45,14 +45,6 @@ def shingles(form: str) -> set[str]:
     return {form[i : i + SHINGLE] for i in range(max(1, len(form) - SHINGLE + 1))}
 
 
-def similar(a: set[str], b: set[str], least: float = LEAST) -> bool:
-    """Whether the Jaccard of two sets reaches least; lengths rule most pairs out."""
-    if min(len(a), len(b)) < least * max(len(a), len(b)):
-        return False
-    shared = len(a & b)
-    return shared >= least * (len(a) + len(b) - shared)
-
-
 @functools.cache
 def _factors() -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(7)
@@ -184,29 +176,14 @@ def verified_links(docs: DataFrame, places: DataFrame, buckets: DataFrame) -> Da
     rows = dealt.join(texts, "k").select("bucket", "cell.i", "cell.j", "k", "form").repartition(parts, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "k")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cell, groups = None, []
-
+        cell = linker = None
         for b in batches:
             out = []
             for bucket, i, j, k, form in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if (bucket, i, j) != cell:
-                    cell, groups = (bucket, i, j), []
+                    cell, linker = (bucket, i, j), Linker(LEAST, lambda x, y: len(x & y))
                 own = shingles(form)
-                # components so far that hold a similar line become one; each gives one link
-                hits = []
-                for g in groups:
-                    near = next((x for x, other in g if similar(own, other)), None)
-                    if near is not None:
-                        hits.append(g)
-                        out.append((min(k, near), max(k, near)))
-                if hits:
-                    first = hits[0]
-                    first.append((k, own))
-                    for g in hits[1:]:
-                        first += g
-                        groups.remove(g)
-                else:
-                    groups.append([(k, own)])
+                out += [(min(k, x), max(k, x)) for x in linker.add(k, own, sorted(own, key=hash))]
             if out:
                 a, c = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64())], names=["a", "b"])

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import components, documents
+from rankloom.llm.common import Linker, components, documents
 from rankloom.llm.tokens import batches_of
 from rankloom.session import written
 
@@ -300,41 +300,16 @@ def verified_groups(docs: DataFrame, members: DataFrame, words: int = WORDS, lea
     rows = dealt.join(texts, "node").select("g", "cell.i", "cell.j", "node", "sh").repartition(parts, "g", "i", "j").sortWithinPartitions("g", "i", "j", "node")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cell, held, index, parent = None, [], {}, []
-
-        def find(i: int) -> int:
-            while parent[i] != i:
-                parent[i] = parent[parent[i]]
-                i = parent[i]
-            return i
-
+        cell = linker = None
         for b in batches:
             out = []
             g, i, j, nodes = (b.column(k).to_pylist() for k in range(4))
             values, ends = np.asarray(b.column(4).flatten()), np.concatenate([[0], np.cumsum(np.asarray(b.column(4).value_lengths()))])
             for r, node in enumerate(nodes):
                 if (g[r], i[r], j[r]) != cell:
-                    cell, held, index, parent = (g[r], i[r], j[r]), [], {}, []
+                    cell, linker = (g[r], i[r], j[r]), Linker(least, lambda x, y: len(np.intersect1d(x, y, assume_unique=True)))
                 own = values[ends[r] : ends[r + 1]]
-                me, n = len(held), len(own)
-                held.append((node, own))
-                parent.append(me)
-                # sets that reach least share one of their first few shingles, in any fixed order
-                prefix = own[: n - int(np.ceil(n * least - 1e-9)) + 1].tolist() if n else [None]
-                seen = set()
-                for x in prefix:
-                    for other in index.get(x, ()):
-                        if other in seen or find(other) == find(me):
-                            continue
-                        seen.add(other)
-                        them = held[other][1]
-                        if min(n, len(them)) < least * max(n, len(them)):
-                            continue
-                        shared = len(np.intersect1d(own, them, assume_unique=True))
-                        if shared >= least * (n + len(them) - shared):
-                            parent[find(me)] = find(other)
-                            out.append((held[other][0], node))
-                    index.setdefault(x, []).append(me)
+                out += [(x, node) for x in linker.add(node, own, own.tolist())]
             if out:
                 a, c = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64())], names=["a", "b"])
