@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rankloom.operators.numbering import small
 from rankloom.session import shared_folder, written
 
 #: Words of the contracts: runs of anything but a space or \t \n \v \f \r.
@@ -94,15 +95,42 @@ class Linker:
         return out
 
 
+#: Written edges, 16 bytes each before compression, that one task joins.
+ONE_TASK_BYTES = 8 << 20
+
+
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Union-find over all edges of a task; the smaller root wins, so a root is its component's smallest node."""
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = parent[up]
+            x = up
+        return x
+
+    for b in batches:
+        for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            u, v = find(u), find(v)
+            if u != v:
+                parent[max(u, v)] = min(u, v)
+    nodes = list(parent)
+    if nodes:
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([find(x) for x in nodes], pa.int64())], names=["node", "component"])
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, component) for links (a, b) of longs: component is the smallest node reachable.
 
-    Large star and small star in turn, each a grouped minimum and a join that AQE splits where a node is hot; the
-    edges are written after each round, so a lost executor costs one round. Stops when a round changes nothing.
+    Edges of at most ONE_TASK_BYTES, as written, are joined by one task's union-find. Beyond that large star and small
+    star take turns, each a grouped minimum and a join that AQE splits where a node is hot; the edges are written after
+    each round, so a lost executor costs one round, and rounds end when one changes nothing.
     """
     spark = links.sparkSession
     both = links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     edges, seen = written(both, "edges"), None
+    if small(edges, ONE_TASK_BYTES):
+        return edges.repartition(1).mapInArrow(_united, "node long, component long")
     while True:
         state = edges.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.xxhash64("u", "v") % 1_000_003), F.lit(0)).alias("h")).first()
         if state == seen:
@@ -112,8 +140,8 @@ def components(links: DataFrame) -> DataFrame:
         least = around.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = around.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
-        out = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v"))).filter("u <> v")
+        to_least = large.join(least, "u")
+        out = to_least.select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v"))).filter("u <> v")
         edges = written(out.distinct(), "edges")
     nodes = edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
     roots = nodes.select(F.col("component").alias("node"), "component").distinct()

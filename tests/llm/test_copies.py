@@ -10,11 +10,13 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from rankloom.llm import lines, simhash, spotsigs, substrings
+from rankloom.llm import common, lines, simhash, spotsigs, substrings
 from rankloom.llm.common import components
 
 
-def test_components(spark):
+@pytest.mark.parametrize("one_task", [8 << 20, 0])
+def test_components(spark, monkeypatch, one_task):
+    monkeypatch.setattr(common, "ONE_TASK_BYTES", one_task)
     got = components(spark.createDataFrame([(5, 4), (4, 3), (9, 8), (3, 7), (1, 1), (20, 21), (21, 22), (22, 23), (23, 24), (24, 20)], "a long, b long"))
     assert {tuple(r) for r in got.collect()} == {(3, 3), (4, 3), (5, 3), (7, 3), (8, 8), (9, 8), *((i, 20) for i in range(20, 25))}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
