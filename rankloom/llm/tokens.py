@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import re
 import zlib
-from collections.abc import Iterable, Iterator
+from array import array
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,12 +16,14 @@ from pyspark.sql import functions as F
 
 from rankloom.llm.common import documents, new_path
 
-#: Entries after which a worker's cache of words or of pieces starts anew: bounds memory, changes no result.
-MOST_WORDS, MOST_PIECES = 300_000, 500_000
-#: Words of these characters alone are their own NFC form, have one-to-one lower case, and settled classes.
-PLAIN = regex.compile(r"[\x21-\x7e\xa1-\xff]+")
-#: Fixed value: how the vocabulary's file splits normalised text.
-PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: Pieces, or words of other texts, that a worker's cache takes before the older half goes: bounds memory, changes no
+#: result.
+MOST_PIECES, MOST_WORDS = 400_000, 100_000
+#: Fixed value: how the vocabulary's file splits normalised text: runs of letters, what follows an apostrophe, single
+#: numbers, runs of anything else. Here for lower-case Latin-1.
+PLAIN_PIECE = re.compile(r"[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+|'s|'t|'re|'ve|'m|'ll|'d|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^a-z0-9\s\xaa\xb2\xb3\xb5\xb9\xba\xbc-\xbe\xdf-\xf6\xf8-\xff]+")
+#: Texts of these Latin-1 characters alone are their own NFC form, and have one-to-one lower case.
+PLAIN = bytes([*range(9, 14), *range(32, 127), *range(161, 256)])
 #: Code points that str.split takes for white space and the vocabulary's file doesn't.
 SEPARATORS = regex.compile(r"[\x1c-\x1f]")
 
@@ -37,12 +41,43 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in shown else chr(next(rest)) for b in range(256)]
 
 
+def is_plain(text: str) -> bool:
+    try:
+        return not text.encode("latin-1").translate(None, PLAIN) and "<|" not in text
+    except UnicodeEncodeError:
+        return False
+
+
+class _Pieces(dict):
+    """The ids of pieces of lower-case Latin-1, by the library's BPE model when a piece is new."""
+
+    def __init__(self, model):
+        super().__init__()
+        self.model, self.older = model, {}
+        self.letters = dict(enumerate(byte_letters()))
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.older.get(piece)
+        if ids is None:
+            shown = piece if piece.isascii() else piece.encode("utf-8").decode("latin-1").translate(self.letters)
+            ids = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+        self[piece] = ids
+        return ids
+
+    def trim(self) -> None:
+        """Called between texts: what hasn't been used since the last full cache goes."""
+        if len(self) > MOST_PIECES:
+            self.older = dict(self)
+            self.clear()
+
+
 class Encoder:
-    """encode() of the tokenizers library, a distinct word at a time.
+    """encode() of the tokenizers library, a distinct piece at a time.
 
-    No token of this vocabulary spans white space, and its normalisation doesn't look across it, so the ids of a text
-    are those of its words. Words are cached as little-endian 32-bit ids. New words of plain characters are split
-    here into pieces, which the library's BPE model encodes in one call; all others go through its whole tokenizer.
+    No token of this vocabulary spans pieces or white space, and its normalisation doesn't look across white space.
+    Plain texts are lower-cased and split here, and each new piece goes through the library's BPE model. Other texts go
+    word by word: plain words as before, the rest through the library's whole tokenizer. Ids are held as little-endian
+    32-bit integers.
     """
 
     def __init__(self, path: str):
@@ -50,47 +85,34 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.bare = Tokenizer(self.whole.model)
+        self.pieces = _Pieces(self.whole.model)
         self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-        self.letters = {b: c for b, c in enumerate(byte_letters())}
-
-    def _encoded(self, tokenizer, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, new: Iterable[str]) -> None:
-        split, odd, unknown = {}, [], {}
-        for w in new:
-            if PLAIN.fullmatch(w) and "<|" not in w:
-                split[w] = parts = PIECE.findall(w.lower())
-                for p in parts:
-                    if p not in self.pieces:
-                        unknown[p] = None
-            else:
-                odd.append(w)
-        if len(self.pieces) > MOST_PIECES:
-            self.pieces.clear()
-            unknown = dict.fromkeys(p for parts in split.values() for p in parts)
-        if unknown:
-            shown = [p.encode("utf-8").decode("latin-1").translate(self.letters) for p in unknown]
-            self.pieces.update(zip(unknown, self._encoded(self.bare, shown), strict=True))
-        known = self.pieces
-        for w, parts in split.items():
-            self.words[w] = known[parts[0]] if len(parts) == 1 else b"".join([known[p] for p in parts])
-        self.words.update(zip(odd, self._encoded(self.whole, odd), strict=True))
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text, null as empty, as little-endian 32-bit integers."""
-        lists = [None if t and SEPARATORS.search(t) else (t or "").split() for t in texts]
+    def _encoded(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _plain(self, text: str) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, PLAIN_PIECE.findall(text.lower())))
+
+    def _by_words(self, text: str) -> bytes:
+        if SEPARATORS.search(text):
+            return self._encoded([text])[0]
         if len(self.words) > MOST_WORDS:
             self.words.clear()
-        new = set()
-        for words in lists:
-            if words:
-                new.update(words)
-        self._learn(new - self.words.keys())
-        get = self.words.__getitem__
-        return [self._encoded(self.whole, [t])[0] if words is None else b"".join(map(get, words)) for t, words in zip(texts, lists, strict=True)]
+        words = text.split()
+        new = set(words) - self.words.keys()
+        odd = [w for w in new if not is_plain(w)]
+        self.words.update(zip(odd, self._encoded(odd), strict=True))
+        self.words.update((w, self._plain(w)) for w in new.difference(odd))
+        return b"".join(map(self.words.__getitem__, words))
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text, null as empty, as little-endian 32-bit integers."""
+        out = []
+        for t in texts:
+            self.pieces.trim()
+            out.append((self._plain(t) if is_plain(t) else self._by_words(t)) if t else b"")
+        return out
 
 
 _ENCODERS: dict[str, Encoder] = {}
