@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -178,9 +179,13 @@ def op8_simhash(spark, sf_dir: str) -> DataFrame:
 
 # --- near duplicates by likeness ------------------------------------------------------------------------------------
 #: Fingerprints of two-word shingles that a document has, the radius in each, and what a link must reach: a Jaccard of
-#: LEAST over shingles of WORDS words. Pairs at 0.8 differ in about 6 of 64 bits: 35 % of them in 4 at most, in one of
-#: 8 fingerprints 97 %.
+#: LEAST over shingles of WORDS words. Pairs at 0.8 that differ in scattered single words differ in about 6 of 64 bits:
+#: 35 % of them in 4 at most, in one of 8 fingerprints 97 %. Where a passage is cut or added it is about 9.5 bits, which
+#: fingerprints mostly miss.
 FINGERPRINTS, RADIUS, WORDS, LEAST = 8, 4, 5, 0.8
+#: Bands of the MinHash of the compared sets, and rows of each: whatever the edit, a pair at 0.8 shares one of them with
+#: 1 - (1 - 0.8^6)^32 = 99.99 %.
+BANDS, ROWS = 32, 6
 #: Documents that one task compares; larger groups become a grid of pairs of such chunks.
 CHUNK = 4000
 
@@ -193,20 +198,80 @@ def remixed(hashes: np.ndarray, k: int) -> np.ndarray:
         return h ^ (h >> np.uint64(31))
 
 
+@functools.cache
+def _factors() -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(11)
+    return rng.integers(1, 1 << 32, (BANDS * ROWS, 1), dtype=np.uint32) | np.uint32(1), rng.integers(0, 1 << 32, (BANDS * ROWS, 1), dtype=np.uint32)
+
+
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """BANDS signed 64-bit keys of a set of hashes: each of its number and ROWS minima of permuted hashes."""
+    a, b = _factors()
+    h = (hashes >> np.uint64(32)).astype(np.uint32)
+    least = np.full(BANDS * ROWS, (1 << 32) - 1, dtype=np.uint32)
+    with np.errstate(over="ignore"):
+        for at in range(0, len(h), 1024):  # in pieces that stay in the processor's cache
+            mixed = h[at : at + 1024] ^ b
+            mixed *= a
+            np.minimum(least, mixed.min(axis=1), out=least)
+        key = np.arange(1, BANDS + 1, dtype=np.uint64)
+        for row in least.reshape(BANDS, ROWS).T:
+            key = (key ^ row) * np.uint64(0x9E3779B97F4A7C15)
+            key ^= key >> np.uint64(32)
+    return key.view(np.int64)
+
+
 def digests(docs: DataFrame) -> DataFrame:
-    """(id, same, fps): same tells equal texts, null as empty."""
+    """(id, same, fps, bands): same tells equal texts, null as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            same, fps = [], []
+            same, fps, bands = [], [], []
             for _, texts in batches_of(b.column(1), 16_000_000):
                 for t in texts:
                     h = shingle_hashes(t, 2)
                     same.append(xxhash.xxh3_128_digest((t or "").encode("utf-8", "surrogatepass")))
-                    fps.append([signed(majority(remixed(h, k))) for k in range(FINGERPRINTS)])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(same, pa.binary()), pa.array(fps, pa.list_(pa.int64()))], names=["id", "same", "fps"])
+                    fps.append(np.array([signed(majority(remixed(h, k))) for k in range(FINGERPRINTS)], dtype=np.int64))
+                    bands.append(band_keys(shingle_hashes(t, WORDS)))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(same, pa.binary()), pa.array(fps, pa.list_(pa.int64())), pa.array(bands, pa.list_(pa.int64()))], names=["id", "same", "fps", "bands"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("id"), "text").mapInArrow(run, "id long, same binary, fps array<long>, bands array<long>")
+
+
+def band_links(reps: DataFrame) -> DataFrame:
+    """(a, b) for rows (node, bands): the nodes of each band key as a chain. Keys and nodes travel as packed arrays."""
+    parts = max(2, int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            pairs = np.stack([np.asarray(b.column(1).flatten()).view(np.uint64), np.repeat(np.asarray(b.column(0)).view(np.uint64), BANDS)], axis=1)
+            to = (pairs[:, 0] >> np.uint64(40)) % np.uint64(parts)
+            order = np.argsort(to, kind="stable")
+            edges = np.searchsorted(to[order], np.arange(parts + 1))
+            some = np.flatnonzero(np.diff(edges)).tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([pairs[order[edges[p] : edges[p + 1]]].tobytes() for p in some], pa.binary())], names=["part", "pairs"])
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, part = [], None
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if held:
+                pairs = np.concatenate(held)
+                held.clear()
+                key, node = pairs[np.lexsort((pairs[:, 1].view(np.int64), pairs[:, 0]))].T
+                same = np.flatnonzero(key[1:] == key[:-1])
+                yield pa.RecordBatch.from_arrays([pa.array(node[same].view(np.int64)), pa.array(node[same + 1].view(np.int64))], names=["a", "b"])
+
+        for b in batches:
+            for p, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if p != part:
+                    yield from done()
+                    part = p
+                held.append(np.frombuffer(blob, dtype=np.uint64).reshape(-1, 2))
+        yield from done()
 
-    return docs.select(F.col("doc_id").cast("long").alias("id"), "text").mapInArrow(run, "id long, same binary, fps array<long>")
+    dealt = reps.select("node", "bands").mapInArrow(deal, "part int, pairs binary").repartition(parts, "part").sortWithinPartitions("part")
+    return dealt.mapInArrow(link, "a long, b long")
 
 
 def packed_links(reps: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -319,14 +384,14 @@ def verified_groups(docs: DataFrame, members: DataFrame, words: int = WORDS, lea
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(id, component_id) for rows of docs (doc_id, text): documents are linked if their texts are equal, or if their
-    SimHashes collide under a covering mask within RADIUS in one of FINGERPRINTS and their sets of WORDS-word shingles
-    reach a Jaccard of LEAST. component_id is the smallest doc_id that links reach.
+    sets of WORDS-word shingles reach a Jaccard of LEAST and they are proposed: by SimHashes that collide under a covering
+    mask within RADIUS in one of FINGERPRINTS, or by MinHashes that share one of BANDS. component_id is the smallest doc_id that links reach.
 
     Null texts count as empty, and texts without words are alike. Ids must tell rows apart; an empty table gives an
     empty one."""
     rows = written(digests(docs), "digests")
-    reps = written(rows.groupBy("same").agg(F.min("id").alias("node"), F.first("fps").alias("fps")), "reps", "zstd")
-    near = written(packed_links(reps), "links")
+    reps = written(rows.groupBy("same").agg(F.min("id").alias("node"), F.first("fps").alias("fps"), F.first("bands").alias("bands")), "reps", "zstd")
+    near = written(packed_links(reps).unionAll(band_links(reps)), "links")
     docs.sparkSession.sparkContext._jvm.System.gc()  # shuffle files of finished steps go now
     groups = written(components(near).select("node", F.col("component").alias("g")), "groups")
     links = written(verified_groups(docs, groups), "verified")

@@ -174,3 +174,19 @@ def test_near_duplicates(docs, corpus, none, links):
     got = {r["id"]: r["component_id"] for r in simhash.near_duplicates(docs).collect()}
     assert got == {i: union.find(i) for i in sets}
     assert simhash.near_duplicates(none).count() == 0
+
+
+def test_near_duplicates_cut_and_extended(spark):
+    """Copies whose difference is one passage: cut to a prefix, extended, and with the end replaced."""
+    rng = np.random.default_rng(1)
+    rows, pairs = [], []
+    for d in range(60):
+        words = [f"w{x}" for x in rng.integers(0, 5000, int(rng.integers(60, 600)))]
+        n = len(words)
+        copy = [words[: int(n * 0.82)], words + [f"v{x}" for x in rng.integers(0, 5000, int(n * 0.2))], words[: int(n * 0.92)] + [f"v{x}" for x in rng.integers(0, 5000, int(n * 0.07))]][d % 3]
+        rows += [(2 * d, " ".join(words)), (2 * d + 1, " ".join(copy))]
+        a, b = (set(simhash.shingle_hashes(t, 5).tolist()) for _, t in rows[-2:])
+        pairs.append(len(a & b) >= 0.8 * len(a | b))
+    assert sum(pairs) > 50
+    got = {r["id"]: r["component_id"] for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i - 1 if i % 2 and pairs[i // 2] else i for i in range(120)}
