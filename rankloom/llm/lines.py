@@ -17,8 +17,6 @@ from rankloom.session import written
 
 #: Characters of a shingle, the least similarity, bands and rows of a band (a pair at 0.8 is found with 98.5 %).
 SHINGLE, LEAST, BANDS, ROWS = 8, 0.8, 8, 4
-#: Shorter lines are left alone: they are words or marks, not passages.
-LEAST_CHARS = 16
 #: Distinct lines of a bucket that one task compares; larger buckets become a grid of pairs of such chunks.
 CHUNK = 4000
 
@@ -28,10 +26,10 @@ def normal(line: str) -> str:
     return " ".join(line.lower().split())
 
 
-def compared_lines(text: str | None, least_chars: int = LEAST_CHARS) -> Iterator[tuple[int, str]]:
-    """(number, compared form) of the lines that are long enough."""
+def compared_lines(text: str | None) -> Iterator[tuple[int, str]]:
+    """(number, compared form) of the lines that aren't blank."""
     for i, line in enumerate((text or "").split("\n")):
-        if len(line) >= least_chars and len(form := normal(line)) >= least_chars:
+        if form := normal(line):
             yield i, form
 
 
@@ -52,7 +50,7 @@ def _factors() -> tuple[np.ndarray, np.ndarray]:
 
 
 def band_keys(forms: list[str]) -> np.ndarray:
-    """(forms x BANDS) 64-bit keys: each of ROWS minima of permuted shingle hashes. Forms of one length or more."""
+    """(forms x BANDS) 64-bit keys: each of ROWS minima of permuted shingle hashes. Forms of SHINGLE characters or more."""
     chars = np.frombuffer("".join(forms).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint32)
     sizes = np.fromiter(map(len, forms), dtype=np.int64, count=len(forms))
     ends = np.cumsum(sizes)
@@ -96,14 +94,15 @@ def line_keys(docs: DataFrame) -> DataFrame:
 
 
 def shared_buckets(docs: DataFrame) -> DataFrame:
-    """(bucket, k) of the band keys that two different lines share, written. Pairs travel as packed arrays; a line
+    """(bucket, k) of the band keys that two different lines share, written. A line under SHINGLE characters is its only
+    shingle: it is like none but its equals, which have its key, and needs no bucket. Pairs travel as packed arrays; a line
     that repeats within a batch counts once there, so a hot line reaches a task once for each batch."""
     parts = max(2, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for _, texts in batches_of(b.column(1), 4_000_000):
-                forms = list({f for t in texts for _, f in compared_lines(t)})
+                forms = list({f for t in texts for _, f in compared_lines(t) if len(f) >= SHINGLE})
                 if not forms:
                     continue
                 keys = np.array([key_of(f) for f in forms], dtype=np.int64).view(np.uint64)
@@ -213,8 +212,8 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
 def without_near_lines(docs: DataFrame) -> DataFrame:
     """docs with text without the lines that repeat an earlier one, and _n_lines, _n_removed.
 
-    Lines are parted by \\n. They are alike at a Jaccard of LEAST over their lower-case character shingles; lines
-    under LEAST_CHARS characters stay. Of each component of likeness the line of the smallest doc_id, then first in
+    Lines are parted by \\n. They are alike at a Jaccard of LEAST over their lower-case character shingles, those under
+    SHINGLE characters if equal; blank lines stay. Of each component of likeness the line of the smallest doc_id, then first in
     its text, stays. Null texts stay null; the doc_id must tell rows apart, of rows with equal ones the lines with the
     dropped numbers go from each. An empty table gives an empty one."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").filter("doc_id is not null and text is not null")

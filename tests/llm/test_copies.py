@@ -124,6 +124,13 @@ def test_lines(docs, corpus, none, links):
     assert lines.without_near_lines(none).count() == 0
 
 
+def test_short_lines(spark):
+    """Lines of any length are compared; blank ones stay."""
+    texts = {1: "Menu\n\nabout us\nx", 2: "menu\n\n \t\nX\nHome", 3: "ABOUT  us\n你好。\n再见了。", 4: "你好。\nabout it", 5: "home\nmenus"}
+    got = {r["doc_id"]: (r["text"], r["_n_removed"]) for r in lines.without_near_lines(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got == {1: (texts[1], 0), 2: ("\n \t\nHome", 2), 3: ("你好。\n再见了。", 1), 4: ("about it", 1), 5: ("menus", 1)}
+
+
 def fingerprint(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
     if not words:
