@@ -186,6 +186,18 @@ def test_host_passages(spark, monkeypatch, known):
     assert got == {**{i: f"{i} own text of this page" for i in range(3)}, 9: same, 10: same}
 
 
+@pytest.mark.parametrize("known", [True, False])
+def test_copies_of_a_page_are_one_page(spark, monkeypatch, known):
+    """Three copies of a page without article or main keep their text, and so does a page of repeated passages alone."""
+    monkeypatch.setattr(html, "small", lambda df, most=0: known)
+    body = "the only copy of this text is what the page has to say today"
+    menu = "subscribe here for all of our daily news and more of it"
+    rows = [(i, "http://one.org/a", f"<div>{body}</div>") for i in range(3)] + [(3 + i, None, f"<div>{body}</div><div>x{i}</div>" if i == 3 else f"<div>{body}</div>") for i in range(4)]
+    rows += [(10 + i, "http://two.org/", f"<div>{menu}</div><div>{i} own text</div>") for i in range(3)] + [(13, "http://two.org/b", f"<div>{menu}</div>")]
+    got = {r["page_id"]: r["text"] for r in html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {**{i: body for i in range(6)}, 6: f"{body} x3", **{10 + i: f"{i} own text" for i in range(3)}, 13: menu}
+
+
 def test_marginals_against_all_paths():
     rng = np.random.default_rng(2)
     moves = rng.normal(size=(3, 3))
