@@ -82,9 +82,10 @@ class Model:
         return np.diff(sums[np.concatenate([[0], ends])], axis=0)
 
 
-def marginals(emissions: np.ndarray, starts: np.ndarray, lengths: np.ndarray, moves: np.ndarray) -> np.ndarray:
+def marginals(emissions: np.ndarray, starts: np.ndarray, lengths: np.ndarray, moves: np.ndarray, edges: bool = False) -> np.ndarray | tuple[np.ndarray, np.ndarray]:
     """Forward-backward for all sequences at once: the probability of each label at each place. emissions holds the
-    sequences one after another; a step handles the same place of all sequences that are long enough."""
+    sequences one after another; a step handles the same place of all sequences that are long enough. With edges also
+    the expected number of each move (from x to) over all sequences."""
     labels = moves.shape[0]
     order = np.argsort(-lengths, kind="stable")
     starts, lengths = starts[order], lengths[order]
@@ -101,14 +102,19 @@ def marginals(emissions: np.ndarray, starts: np.ndarray, lengths: np.ndarray, mo
         last = now
     back = np.ones((len(starts), labels))
     out = forward
+    expected = np.zeros((labels, labels))
     for t in range(len(active) - 1, -1, -1):
         n = active[t]
         at = starts[:n] + t
         g = forward[at] * back[:n]
         out[at] = g / g.sum(axis=1, keepdims=True)
-        b = (back[:n] * local[at]) @ step.T
+        onward = back[:n] * local[at]
+        b = onward @ step.T
+        if edges and t:  # the place before still holds its forward message
+            before = forward[at - 1]
+            expected += step * ((before / (before * b).sum(axis=1, keepdims=True)).T @ onward)
         back[:n] = b / b.sum(axis=1, keepdims=True)
-    return out
+    return (out, expected) if edges else out
 
 
 def fit(texts: list[str], langs: list[str], epochs: int = 6, length: int = 40, rate: float = 0.3, seed: int = 9) -> Model:
@@ -149,8 +155,7 @@ def fit(texts: list[str], langs: list[str], epochs: int = 6, length: int = 40, r
             flat, ends = features(words)
             sums = np.vstack([np.zeros(k), np.cumsum(model.weights[flat], axis=0, dtype=np.float64)])
             emissions = np.diff(sums[np.concatenate([[0], ends])], axis=0)
-            gamma = marginals(emissions, starts, lengths, model.moves)
-            error = gamma.copy()
+            error, expected = marginals(emissions, starts, lengths, model.moves, edges=True)
             error[np.arange(len(tags)), tags] -= 1
             counts = np.diff(np.concatenate([[0], ends]))
             used, inverse = np.unique(flat, return_inverse=True)
@@ -158,15 +163,12 @@ def fit(texts: list[str], langs: list[str], epochs: int = 6, length: int = 40, r
             gradient += 1e-4 * model.weights[used]
             grown[used] += gradient**2
             model.weights[used] -= (rate * gradient / np.sqrt(grown[used])).astype(np.float32)
-            # neighbours' joint probabilities, from the marginals and the local scores
             inner = np.ones(len(tags), dtype=bool)
             inner[starts + lengths - 1] = False
             left = np.flatnonzero(inner)
-            joint = gamma[left][:, :, None] * np.exp(model.moves)[None] * gamma[left + 1][:, None, :]
-            joint /= joint.sum(axis=(1, 2), keepdims=True)
             seen = np.zeros((k, k))
             np.add.at(seen, (tags[left], tags[left + 1]), 1)
-            gradient = (joint.sum(axis=0) - seen) / len(batch) + 1e-3 * model.moves
+            gradient = (expected - seen) / len(batch) + 1e-3 * model.moves
             grown_moves += gradient**2
             model.moves -= rate * gradient / np.sqrt(grown_moves)
     return model

@@ -214,6 +214,26 @@ def test_marginals_against_all_paths():
         assert got[a : a + n] == pytest.approx(exact / exact.sum(axis=1, keepdims=True))
 
 
+def test_expected_moves_against_all_paths():
+    rng = np.random.default_rng(4)
+    moves = rng.normal(size=(3, 3))
+    lengths = np.array([4, 1, 3])
+    emissions = rng.normal(size=(8, 3))
+    starts = np.cumsum(lengths) - lengths
+    nodes, got = language.marginals(emissions, starts, lengths, moves, edges=True)
+    exact = np.zeros((3, 3))
+    for a, n in zip(starts, lengths, strict=True):
+        own, total = np.zeros((3, 3)), 0.0
+        for path in np.ndindex(*[3] * n):
+            w = np.exp(sum(emissions[a + t, y] for t, y in enumerate(path)) + sum(moves[x, y] for x, y in zip(path, path[1:], strict=False)))
+            total += w
+            for x, y in zip(path, path[1:], strict=False):
+                own[x, y] += w
+        exact += own / total
+    assert got == pytest.approx(exact)
+    assert nodes == pytest.approx(language.marginals(emissions, starts, lengths, moves))
+
+
 def test_code_switch():
     english, french = "the river and the stone are with this winter", "le fleuve et la pierre sont avec cet hiver"
     model = language.fit([english] * 20 + [french] * 20, ["en"] * 20 + ["fr"] * 20)
