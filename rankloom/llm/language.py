@@ -16,7 +16,7 @@ from rankloom.llm.tokens import batches_of
 
 #: The training sample: so many documents of each language at most, a window of so many characters of each.
 SAMPLE_DOCS, SAMPLE_CHARS = 400, 1500
-#: Languages that are learned at most, the most frequent ones; more labels than that aren't languages.
+#: Languages that are learned at most, as the model has a weight for each feature and language; more are an error.
 MOST_LANGUAGES = 256
 FEATURE_BITS = 17
 #: Tokens that a worker remembers before it starts anew.
@@ -179,9 +179,12 @@ def train(docs: DataFrame, held_out, docs_each: int = SAMPLE_DOCS, chars: int =
 
     The sample is bounded by docs_each documents of each language and a window of chars characters of each, which
     starts at a place drawn from the document's hash; it doesn't grow with the table. Which documents: the least
-    hashes of their doc_id, of those that pass a rate that leaves three times as many."""
+    hashes of their doc_id, of those that pass a rate that leaves three times as many. More than MOST_LANGUAGES
+    languages are an error, so that none is left out unsaid."""
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out)
-    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()}
+    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()}
+    if len(counts) > MOST_LANGUAGES:
+        raise ValueError(f"lang has more than {MOST_LANGUAGES} values to learn")
     if not counts:
         return None
     draw = F.pmod(F.xxhash64(F.lit("language"), "doc_id"), F.lit(1 << 30))

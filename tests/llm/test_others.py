@@ -251,6 +251,12 @@ def test_language_held_out(spark):
     assert all(0 <= r["score"] <= 1 for r in got)
 
 
+def test_too_many_languages(docs, monkeypatch):
+    monkeypatch.setattr(language, "MOST_LANGUAGES", 1)
+    with pytest.raises(ValueError, match="more than 1 values"):
+        language.train(docs, F.lit(False))
+
+
 def test_language_cases(docs, none):
     model = language.train(docs, F.lit(False))
     got = {r["id"]: (r["lang_pred"], r["score"]) for r in language.identified(docs, model).collect()}
