@@ -11,8 +11,8 @@ range; the bytes that they span together give the anchor its class.
    strings of length bytes, are sorted, and of equal neighbours all but the first start earlier.
 3. The removed windows meet their document, and the covered bytes go.
 
-Strings that are very common in a block of text (over HOT classes) skip step 1 everywhere: their windows are dealt
-by their own hash, after repeats within the block are settled, so that no task gets more than one for each block.
+Strings that are very common in a block of text (over HOT classes), or in all (over HOT_IN_ALL), skip step 2's buckets:
+their windows are dealt by their own hash, after repeats within what is cut out together are settled.
 """
 
 from __future__ import annotations
@@ -29,9 +29,10 @@ from rankloom.llm.common import documents
 from rankloom.session import written
 
 LENGTH, GRAM = 100, 32
-#: Bytes of text that are handled together.
-BLOCK = 6 << 20
-HOT = 64
+#: Bytes of text that are handled together; bytes and windows that are cut out together.
+BLOCK, CUT_BYTES, CUT_WINDOWS = 3 << 20, 2 << 20, 50_000
+#: Classes of one string in a block, and in all, beyond which its windows are dealt by their own hash.
+HOT, HOT_IN_ALL = 64, 1024
 MULTIPLIER = 0x9E3779B97F4A7C15
 INVERSE = pow(MULTIPLIER, -1, 1 << 64)
 RECORD = np.dtype([("a", "<u8"), ("h", "<u8"), ("doc", "<i8"), ("tie", "<u4"), ("s", "<u4"), ("at", "u1"), ("n", "u1")])
@@ -121,12 +122,25 @@ def anchors(x: np.ndarray, owner: np.ndarray, base: np.ndarray, length: int = LE
     return out, hashes, starts
 
 
+def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Where the values of a string or binary column start and end, and all bytes."""
+    wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
+    offsets = np.frombuffer(column.buffers()[1], dtype="<i8" if wide else "<i4")[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    return offsets, np.frombuffer(column.buffers()[2] or b"", dtype=np.uint8)
+
+
+def pieces(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of items whose sizes add up to about most."""
+    cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // most)) + 1
+    edges = [0, *cuts.tolist(), len(sizes)]
+    return ((a, b) for a, b in zip(edges, edges[1:], strict=False) if b > a)
+
+
 def blocks(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Texts of (doc, tie, text) up to about BLOCK bytes together: bytes, owner, base, doc, tie. Longer texts are on
     their own, in overlapping parts that each count windows of their own."""
     text = batch.column(2)
-    offsets = np.frombuffer(text.buffers()[1], dtype="<i4" if pa.types.is_string(text.type) else "<i8")[text.offset : text.offset + len(text) + 1].astype(np.int64)
-    data = np.frombuffer(text.buffers()[2] or b"", dtype=np.uint8)
+    offsets, data = buffers(text)
     doc, tie = np.asarray(batch.column(0)), np.asarray(batch.column(1))
     a = 0
     while a < len(text):
@@ -215,10 +229,12 @@ def found_windows(docs: DataFrame) -> DataFrame:
             held.clear()
             heads = np.flatnonzero(_firsts([r["a"]]))
             counts = np.diff(np.append(heads, len(r)))
-            marked = np.repeat(np.add.reduceat(r["n"] == 0, heads) > 0, counts)
+            marked = np.repeat((np.add.reduceat(r["n"] == 0, heads) > 0) | (counts > HOT_IN_ALL), counts)
             real = r["n"] > 0
-            yield _rows(OWN, 0, r[marked & real])
-            r = r[~marked]
+            own, r = r[marked & real], r[~marked]
+            new = _firsts([own["a"], own["h"]])
+            yield _rows(GONE, 0, own[~new])
+            yield _rows(OWN, 0, own[new])
             new = _firsts([r["a"], r["h"]]) if len(r) else np.empty(0, bool)
             yield _rows(GONE, 0, r[~new])
             r = r[new]
@@ -252,30 +268,47 @@ def compared_windows(docs: DataFrame, found: DataFrame) -> DataFrame:
     texts = keyed(docs)
     joined = texts.join(wanted, ["doc", "tie"]).select("doc", "tie", F.encode("text", "UTF-8").alias("text"), "w.kind", "w.bucket", "w.s", "w.n")
 
+    odd = powers(16)[0][1 : 1 + -(-LENGTH // 8)]
+
+    def rows_of(bucket, doc, tie, s, at, size, data: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """The strings of size bytes from data at their places."""
+        for a, b in pieces(size, CUT_BYTES):
+            n = size[a:b]
+            ends = np.cumsum(n)
+            found = data[np.repeat(at[a:b] - (ends - n), n) + np.arange(ends[-1])]
+            held = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(np.concatenate([[0], ends]).astype("<i4")), pa.py_buffer(found)])
+            yield pa.RecordBatch.from_arrays([*[pa.array(np.ascontiguousarray(c[a:b])) for c in (bucket, doc, tie, s)], held], names=["bucket", "doc", "tie", "s", "bytes"])
+
     def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = {k: [] for k in ("bucket", "doc", "tie", "s", "bytes")}
-            seen: dict[bytes, tuple] = {}
-
-            def put(bucket, doc, tie, s, data):
-                for k, v in zip(rows, (bucket, doc, tie, s, data), strict=True):
-                    rows[k].append(v)
-
-            for doc, tie, text, kinds, buckets, starts, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for kind, bucket, s, n in zip(kinds, buckets, starts, counts, strict=True):
-                    if kind == BUCKET:
-                        put(bucket, doc, tie, s, text[s : s + n - 1 + LENGTH])
-                        continue
-                    for i in range(s, s + n):
-                        window = text[i : i + LENGTH]
-                        if (old := seen.get(window)) is None or (doc, tie, i) < old:
-                            # a later one that was sent before loses to this one in the bucket
-                            seen[window] = (doc, tie, i)
-                            put(int.from_bytes(hashlib.blake2b(window, digest_size=8).digest(), "little", signed=True), doc, tie, i, window)
-                        elif (doc, tie, i) != old:
-                            put(None, doc, tie, i, b"")
-            if rows["doc"]:
-                yield pa.RecordBatch.from_arrays([pa.array(rows["bucket"], pa.int64()), *[pa.array(rows[k], pa.int64()) for k in ("doc", "tie", "s")], pa.array(rows["bytes"], pa.binary())], names=list(rows))
+            offsets, data = buffers(batch.column(2))
+            row = np.repeat(np.arange(batch.num_rows), np.asarray(batch.column(3).value_lengths()))
+            doc, tie = np.asarray(batch.column(0))[row], np.asarray(batch.column(1))[row]
+            kind, bucket, s, n = (np.asarray(batch.column(c).flatten()) for c in range(3, 7))
+            at, n = offsets[row] + s, n.astype(np.int64)
+            k = np.flatnonzero(kind == BUCKET)
+            yield from rows_of(bucket[k], doc[k], tie[k], s[k], at[k], n[k] - 1 + LENGTH, data)
+            own = np.flatnonzero(kind == OWN)
+            for a, b in pieces(n[own], CUT_WINDOWS):
+                runs = own[a:b]
+                inner = np.arange(n[runs].sum()) - np.repeat(np.cumsum(n[runs]) - n[runs], n[runs])
+                k = np.repeat(runs, n[runs])
+                d, t, place, start = doc[k], tie[k], s[k] + inner, at[k] + inner
+                window = np.zeros((len(k), 8 * len(odd)), dtype=np.uint8)
+                window[:, :LENGTH] = np.lib.stride_tricks.sliding_window_view(data, LENGTH)[start]
+                with np.errstate(over="ignore"):
+                    h = mixed((window.view("<u8") * odd).sum(axis=1, dtype=np.uint64))
+                order = np.lexsort((place, t, d, h))
+                d, t, place, start, h = d[order], t[order], place[order], start[order], h[order]
+                # of equal windows the first is sent; the others are settled here
+                same = np.flatnonzero(h[1:] == h[:-1]) + 1
+                same = same[(window[order[same]] == window[order[same - 1]]).all(axis=1)]
+                sent = np.ones(len(h), dtype=bool)
+                sent[same] = False
+                yield from rows_of(h[sent].view(np.int64), d[sent], t[sent], place[sent], start[sent], np.full(int(sent.sum()), LENGTH), data)
+                gone = same[(d[same] != d[same - 1]) | (t[same] != t[same - 1]) | (place[same] != place[same - 1])]
+                if len(gone):
+                    yield pa.RecordBatch.from_arrays([pa.nulls(len(gone), pa.int64()), pa.array(d[gone]), pa.array(t[gone]), pa.array(place[gone]), pa.array([b""] * len(gone), pa.binary())], names=["bucket", "doc", "tie", "s", "bytes"])
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -353,7 +386,7 @@ def compared_windows(docs: DataFrame, found: DataFrame) -> DataFrame:
     return written(dealt.mapInArrow(sort, "doc long, tie long, s long, n int"), "compared", "zstd")
 
 
-def kept_spans(n_bytes: int, starts: np.ndarray, counts: np.ndarray, length: int = LENGTH) -> list[tuple[int, int]]:
+def removed_spans(starts: np.ndarray, counts: np.ndarray, length: int = LENGTH) -> list[tuple[int, int]]:
     """Removed runs of bytes, from windows by start and count."""
     if not len(starts):
         return []
@@ -372,24 +405,25 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     text. Texts of one doc_id are ordered by CRC-32; equal rows are one document and get equal results. Null and
     short texts lose nothing."""
     found = found_windows(docs)
-    docs.sparkSession.sparkContext._jvm.System.gc()  # the sample's shuffle files go now
     more = compared_windows(docs, found)
     runs = found.filter(F.col("kind") == GONE).select("doc", "tie", "s", "n").unionAll(more)
     grouped = runs.groupBy("doc", "tie").agg(F.collect_list(F.struct("s", "n")).alias("w"))
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for doc, text, starts, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                spans = kept_spans(len(text), np.array(starts or [], np.int64), np.array(counts or [], np.int64))
-                kept, at = [], 0
-                for a, b in spans:
-                    kept.append(text[at:a])
-                    at = b
-                kept.append(text[at:])
-                out.append((doc, len(text), sum(b - a for a, b in spans), len(spans), b"".join(kept)))
-            cols = list(zip(*out, strict=True))
-            yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in cols[:4]], pa.array(cols[4], pa.binary())], names=["doc", "n_bytes", "n_removed", "n_spans", "kept"])
+            offsets, data = buffers(batch.column(1))
+            ends = np.cumsum(np.asarray(batch.column(2).value_lengths().fill_null(0)))
+            starts, counts = (np.asarray(batch.column(c).flatten()).astype(np.int64) for c in (2, 3))
+            for a, b in pieces(np.diff(offsets), CUT_BYTES):
+                out = []
+                for i in range(a, b):
+                    text, mine = data[offsets[i] : offsets[i + 1]], slice(ends[i - 1] if i else 0, ends[i])
+                    spans = removed_spans(starts[mine], counts[mine])
+                    edges = [0, *(x for span in spans for x in span), len(text)]
+                    kept = b"".join(text[x:y].tobytes() for x, y in zip(edges[::2], edges[1::2], strict=True))
+                    out.append((len(text), len(text) - len(kept), len(spans), kept))
+                cols = list(zip(*out, strict=True))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *[pa.array(c, pa.int64()) for c in cols[:3]], pa.array(cols[3], pa.binary())], names=["doc", "n_bytes", "n_removed", "n_spans", "kept"])
 
     joined = keyed(docs).join(grouped, ["doc", "tie"], "left").select("doc", F.encode("text", "UTF-8").alias("text"), "w.s", "w.n")
     out = joined.mapInArrow(remove, "doc long, n_bytes long, n_removed long, n_spans long, kept binary")
