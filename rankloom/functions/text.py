@@ -15,6 +15,8 @@ from pyspark.sql.functions import pandas_udf
 #: Letters that have a Soundex digit, and the digits in the same order. Other characters count as 0.
 SOUNDEX_LETTERS = "BFPVCGJKQSXZDTLMNR"
 SOUNDEX_DIGITS = "111122222222334556"
+#: Bytes of texts that one table of a kernel holds.
+MOST_CELLS = 250_000
 
 
 def byte_view(text: Column) -> Column:
@@ -67,7 +69,7 @@ def soundex_score(text: Column, target: str) -> Column:
     return F.when(text.isNotNull(), score)
 
 
-def _once(value: Column, use) -> Column:
+def once(value: Column, use) -> Column:
     """use(value), with value evaluated once even where use mentions it inside a lambda."""
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
@@ -80,7 +82,7 @@ def ngrams(text: Column, n: int) -> Column:
         some = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.hex(F.substring(raw, i, F.lit(n)))))
         return F.when(count >= 1, some).otherwise(F.array().cast("array<string>"))
 
-    return _once(F.encode(text, "UTF-8"), grams)
+    return once(F.encode(text, "UTF-8"), grams)
 
 
 def jaccard_ngrams(text: Column, target: str, n: int = 3) -> Column:
@@ -96,7 +98,7 @@ def jaccard_ngrams(text: Column, target: str, n: int = 3) -> Column:
         shared = F.size(F.array_intersect(own, F.array(*map(F.lit, grams)))).cast("double")
         return shared / (F.size(own) + F.lit(len(grams)) - shared)
 
-    return F.when(text.isNotNull(), _once(ngrams(text, n), share))
+    return F.when(text.isNotNull(), once(ngrams(text, n), share))
 
 
 def _by_distinct(texts: pd.Series, score) -> pd.Series:
@@ -105,9 +107,10 @@ def _by_distinct(texts: pd.Series, score) -> pd.Series:
     raw = [v.encode("utf-8") for v in values]
     lengths = np.array([len(b) for b in raw], dtype=np.int64)
     out = np.full(len(raw) + 1, np.nan)
-    # texts of about one length share a matrix: one long text doesn't widen those of the short ones
+    # texts of about one length share a matrix, of MOST_CELLS at most: one long text doesn't widen those of the short ones
     order = np.argsort(lengths, kind="stable")
-    for part in np.array_split(order, max(1, len(order) // 256)):
+    cells = np.cumsum(lengths[order] + 1)
+    for part in np.split(order, np.flatnonzero(np.diff(np.maximum(cells // MOST_CELLS, np.arange(len(order)) // 512))) + 1):
         if len(part):
             matrix = np.zeros((len(part), int(lengths[part].max())), dtype=np.int16) - 1
             for row, k in enumerate(part):

@@ -14,6 +14,7 @@ from rankloom.operators.frame import POS
 from rankloom.operators.numbering import numbered, small
 from rankloom.operators.tfidf import cosine_tfidf
 from rankloom.plans.blend import COMBINED, BlendWeights, TextBlend, blended
+from rankloom.session import written
 
 #: Metrics of one projection: the function, and whether a small value is good.
 METRICS = {"levenshtein": (T.levenshtein, True), "osa": (T.osa, True), "jaro_winkler": (T.jaro_winkler, False), "soundex": (T.soundex_score, False), "jaccard": (T.jaccard_ngrams, False)}
@@ -79,6 +80,7 @@ def rank_by_vector(df: DataFrame, query: Sequence[float], text: Column, vector:
 def rank_by_vector_and_text(df: DataFrame, target: str, query: Sequence[float], text: Column, vector: Column, dims: int = 0, weights: BlendWeights | None = None, case_insensitive: bool = False, contains: str = "", k: int | None = None) -> DataFrame:
     """By a weighted mean of the vector's cosine and the text metrics."""
     rows, want = survivors(_with_vector(df, text, vector, query, dims), F.col("_plain"), target, case_insensitive, contains)
+    rows = written(rows.select("key", "value", POS, "_text", "_vector"), "survivors")  # read by each step of the text metrics
     w = weights or BlendWeights()
     blend = TextBlend(w.levenshtein, w.osa, w.jaro_winkler, w.cosine, w.jaccard, w.soundex, max(1, w.ngram), w.vector)
     return ranked(with_cosine(rows, want), blended(F.col("_text"), want, F.col("_cosine"), cosine(F.col("_vector"), query), blend), False, k, df)
