@@ -9,7 +9,8 @@ from pyspark.sql.types import DataType, LongType, StructField, StructType
 POS = "_pos"
 
 
-def empty(spark: SparkSession, key: DataType, value: DataType) -> DataFrame:
+def empty(spark: SparkSession, key: DataType, value: DataType, capacity: int = 0) -> DataFrame:
+    """A table without rows. capacity is taken and has no effect: tables have no room to set aside."""
     return spark.createDataFrame([], StructType([StructField("key", key), StructField("value", value), StructField(POS, LongType())]))
 
 

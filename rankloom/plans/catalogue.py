@@ -20,6 +20,8 @@ PART_TARGET, PART_FILTER = "Red Widget", "RE"
 NAME_TARGET, NAME_FILTER = "Customer#000000123", "99"
 SUPPLIER_TARGET, SUPPLIER_FILTER = "Supplier#000000042", "7"
 DOC_TARGET, DOC_FILTER = "the of and that retitioning", "license"
+#: Letters beyond ASCII, and numerals that are no part of a token.
+ACCENTED_TARGET = "\u00bdf\u00fcr x\u00b2 avec\u2167la\u2166 s\u00ednñ \u00e9t\u00e9 \u00dcBER"
 QUERY_VECTOR = [math.sin(i + 1) for i in range(64)]
 LIFETIME_S, IDLE_S = 3600.0 * 2, 3600.0 * 6
 CLEAR_FROM = 360.0
@@ -115,6 +117,7 @@ SEARCHES = {
     "jaro_winkler_filtered": ("jaro_winkler", CUSTOMER, NAME_TARGET, NAME_FILTER),
     "tfidf": ("tfidf", DOCUMENT, DOC_TARGET, ""),
     "tfidf_filtered": ("tfidf", DOCUMENT, DOC_TARGET, DOC_FILTER),
+    "tfidf_accented": ("tfidf", DOCUMENT, ACCENTED_TARGET, ""),
     "soundex": ("soundex", PART, PART_TARGET, ""),
     "soundex_filtered": ("soundex", SUPPLIER, SUPPLIER_TARGET, SUPPLIER_FILTER),
     "jaccard": ("jaccard", DOCUMENT, DOC_TARGET, ""),
@@ -171,12 +174,41 @@ def oplog_clear(spark, d):
     return C.fold_sets(ops).select("key", "value", F.col("_pos").alias("pos"))
 
 
+def _cent_ops(spark, d, sign: str) -> DataFrame:
+    """Views set, clicks set or update, signups update what is there, errors delete, the rest is an update: of whole cents."""
+    e = read_table(spark, d, "events")
+    kind = F.when(F.col("event_type") == "error", "delete").when(F.col("event_type") == "view", sign).when(F.col("event_type") == "click", "set_or_update").when(F.col("event_type") == "signup", "update_generic").otherwise("update")
+    return e.select(F.col("event_id").alias("seq"), kind.alias("op"), F.col("user_id").alias("key"), F.round(F.col("value") * 100).cast("long").alias("arg"))
+
+
 def set_or_update(spark, d):
     """Views set, other events add to what is there; the sum is rounded at every step to whole cents."""
-    e = read_table(spark, d, "events")
-    kind = F.when(F.col("event_type") == "error", "delete").when(F.col("event_type") == "view", "set").when(F.col("event_type") == "click", "set_or_update").when(F.col("event_type") == "signup", "update_generic").otherwise("update")
-    ops = e.select(F.col("event_id").alias("seq"), kind.alias("op"), F.col("user_id").alias("key"), F.round(F.col("value") * 100).cast("long").alias("arg"))
-    return C.fold(ops, F.lit(0), lambda v, x: v + x).select("key", F.col("value").alias("cents"), F.col("_pos").alias("pos"))
+    return C.fold_sums(_cent_ops(spark, d, "set")).select("key", F.col("value").alias("cents"), F.col("_pos").alias("pos"))
+
+
+def _odd(value, arg):
+    return F.when(arg % 2 == 1, F.lit("odd amount"))
+
+
+def update_checked(spark, d):
+    """All but errors, clicks and signups are updates, which fail on odd amounts: a key made by such a one stays at zero."""
+    return C.fold(_cent_ops(spark, d, "update"), F.lit(0), lambda v, x: v + x, fails=_odd).select("key", F.col("value").alias("cents"), F.col("_pos").alias("pos"))
+
+
+def update_errors(spark, d):
+    """The updates that failed, and why."""
+    return C.fold_errors(_cent_ops(spark, d, "update"), F.lit(0), lambda v, x: v + x, fails=_odd)
+
+
+def direct_update(spark, d):
+    """Parts of one size get one price, whatever they had."""
+    df = as_ordered(read_table(spark, d, "part"), "p_partkey", "p_retailprice", "p_partkey")
+    return C.update_keys(df, read_table(spark, d, "part").filter("p_size = 7").select(F.col("p_partkey").alias("key")), C.DirectUpdate(9.5)).select("key", "value")
+
+
+def missing_keys(spark, d):
+    """Customers with orders whom an update of positive balances would refuse."""
+    return C.missing_keys(_customers(spark, d), _wanted(spark, d).select("key").distinct())
 
 
 def update_generic(spark, d):
@@ -230,8 +262,36 @@ def first_available(spark, d):
     return resources.first_available(_leases(spark, d)).select("id")
 
 
+def _returned(spark, d) -> DataFrame:
+    """Resources to give back: every seventh number, some of which aren't in use or don't exist."""
+    return spark.range(0, 4000, 7).toDF("id")
+
+
+def release(spark, d):
+    out = resources.released(_leases(spark, d), _returned(spark, d), _now(spark, d))
+    return out.select("id", "in_use", F.round(F.unix_micros("last_used") / 1e6, 3).alias("last_used_s"))
+
+
+def release_errors(spark, d):
+    return resources.release_errors(_leases(spark, d), _returned(spark, d))
+
+
+def maintenance(spark, d):
+    """What expiry would leave and take."""
+    return resources.maintained(_leases(spark, d), F.lit("2024-01-01 03:00:00").cast("timestamp"), LIFETIME_S)[1]
+
+
+def reset_pool(spark, d):
+    return resources.reset(_leases(spark, d), 10, _now(spark, d)).select("id", "in_use", F.col("_pos").alias("pos"))
+
+
+def top_k(spark, d):
+    """The ten best parts."""
+    return rank.rank_by(parts(spark, d), "levenshtein", PART_TARGET, True, k=10).select("key", "score", "rank")
+
+
 def queries() -> dict[str, Query]:
-    out: dict[str, Query] = {f.__name__: f for f in (ordered_scan, ordered_keys, ordered_values, get_batch, exists_batch, sort_field, sort_multi_field, vector_only, oplog_fold, oplog_delete_reinsert, oplog_clear, set_or_update, update_generic, field_update, delete_batch, pool_status, pool_ages, ttl_expire, idle_check, first_available)}
+    out: dict[str, Query] = {f.__name__: f for f in (ordered_scan, ordered_keys, ordered_values, get_batch, exists_batch, sort_field, sort_multi_field, vector_only, oplog_fold, oplog_delete_reinsert, oplog_clear, set_or_update, update_generic, field_update, delete_batch, pool_status, pool_ages, ttl_expire, idle_check, first_available, update_checked, update_errors, direct_update, missing_keys, release, release_errors, maintenance, reset_pool, top_k)}
     out["len"] = length
     for name, (metric, (table, key, text), target, contains) in SEARCHES.items():
         out[name] = _search(metric, table, key, text, target, contains)

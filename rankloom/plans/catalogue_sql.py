@@ -134,6 +134,9 @@ def _vector_blend(contains: str, w: BlendWeights) -> str:
 
 _OPS = "ops AS (SELECT event_id AS seq, CASE WHEN event_type = 'error' THEN 'delete' ELSE 'set' END AS op, user_id AS key, value AS arg FROM events)"
 _LIVE = "live AS (SELECT * FROM (SELECT *, coalesce(max(CASE WHEN op = 'delete' THEN seq END) OVER (PARTITION BY key), -1) AS gone FROM ops) WHERE op = 'set' AND seq > gone)"
+_CENTS = "ops AS (SELECT event_id AS seq, event_type AS kind, user_id AS key, CAST(round(value * 100) AS BIGINT) AS arg FROM events)"
+_PLACED = """live AS (SELECT * FROM (SELECT *, coalesce(max(CASE WHEN kind = 'error' THEN seq END) OVER (PARTITION BY key), -1) AS gone FROM ops) WHERE kind <> 'error' AND seq > gone),
+placed AS (SELECT *, min(CASE WHEN kind <> 'signup' THEN seq END) OVER (PARTITION BY key) AS pos, coalesce(max(CASE WHEN {sets} THEN seq END) OVER (PARTITION BY key), -1) AS last_set FROM live)"""
 _LEASES = "leases AS (SELECT user_id AS id, min(ts) AS created_at, max(ts) AS last_used, count(*) % 2 = 1 AS in_use, min(event_id) AS pos FROM events GROUP BY user_id)"
 _CUSTOMERS = "held AS (SELECT c_custkey AS key, c_name AS value FROM customer WHERE c_acctbal > 0)"
 _SECONDS = "(epoch_us(TIMESTAMP '{}') / 1e6 - epoch_us({}) / 1e6)"
@@ -156,10 +159,21 @@ def oracle_sql() -> dict[str, str]:
         "oplog_fold": f"WITH {_OPS}, {_LIVE} SELECT key, max_by(arg, seq) AS value, min(seq) AS pos FROM live GROUP BY key",
         "oplog_delete_reinsert": f"WITH {_OPS}, {_LIVE} SELECT key, value, row_number() OVER (ORDER BY pos) AS rank FROM (SELECT key, max_by(arg, seq) AS value, min(seq) AS pos FROM live WHERE gone >= 0 GROUP BY key)",
         "oplog_clear": f"WITH {_OPS.replace('CASE WHEN', f'CASE WHEN value >= {Q.CLEAR_FROM} THEN {_quoted("clear")} WHEN')}, {_LIVE} SELECT key, max_by(arg, seq) AS value, min(seq) AS pos FROM live WHERE seq > (SELECT coalesce(max(seq), -1) FROM ops WHERE op = 'clear') GROUP BY key",
-        "set_or_update": """WITH ops AS (SELECT event_id AS seq, event_type AS kind, user_id AS key, CAST(round(value * 100) AS BIGINT) AS arg FROM events),
-live AS (SELECT * FROM (SELECT *, coalesce(max(CASE WHEN kind = 'error' THEN seq END) OVER (PARTITION BY key), -1) AS gone FROM ops) WHERE kind <> 'error' AND seq > gone),
-placed AS (SELECT *, min(CASE WHEN kind <> 'signup' THEN seq END) OVER (PARTITION BY key) AS pos, coalesce(max(CASE WHEN kind = 'view' THEN seq END) OVER (PARTITION BY key), -1) AS last_set FROM live)
+        "set_or_update": f"""WITH {_CENTS}, {_PLACED.format(sets="kind = 'view'")}
 SELECT key, CAST(sum(arg) AS BIGINT) AS cents, pos FROM placed WHERE seq >= pos AND seq >= last_set GROUP BY key, pos""",
+        "update_checked": f"""WITH {_CENTS}, {_PLACED.format(sets="false")}
+SELECT key, CAST(coalesce(sum(arg) FILTER (kind = 'click' OR arg % 2 = 0), 0) AS BIGINT) AS cents, pos FROM placed WHERE seq >= pos GROUP BY key, pos""",
+        "update_errors": f"""WITH {_CENTS}, w AS (SELECT *, coalesce(max(CASE WHEN kind NOT IN ('error', 'signup') THEN seq END) OVER before, -1) AS made, coalesce(max(CASE WHEN kind = 'error' THEN seq END) OVER before, -1) AS gone FROM ops
+  WINDOW before AS (PARTITION BY key ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT seq, key, CASE WHEN kind = 'signup' AND made <= gone THEN 'key not found' ELSE 'odd amount' END AS error FROM w
+WHERE kind NOT IN ('error', 'click') AND (arg % 2 = 1 OR kind = 'signup' AND made <= gone)""",
+        "direct_update": "SELECT p_partkey AS key, CASE WHEN p_size = 7 THEN 9.5 ELSE p_retailprice END AS value FROM part",
+        "missing_keys": f"WITH {_CUSTOMERS} SELECT DISTINCT o_custkey AS key FROM orders WHERE o_custkey NOT IN (SELECT key FROM held)",
+        "release": f"WITH {_LEASES} SELECT id, in_use AND NOT (id % 7 = 0 AND id < 4000) AS in_use, round(epoch_us(CASE WHEN in_use AND id % 7 = 0 AND id < 4000 THEN TIMESTAMP '{Q.NOW}' ELSE last_used END) / 1e6, 3) AS last_used_s FROM leases",
+        "release_errors": f"WITH {_LEASES} SELECT r.id, CASE WHEN in_use IS NULL THEN 'not found' ELSE 'not in use' END AS error FROM (SELECT unnest(range(0, 4000, 7)) AS id) r LEFT JOIN leases ON leases.id = r.id WHERE in_use IS NULL OR NOT in_use",
+        "maintenance": f"WITH {_LEASES} SELECT count(*) FILTER (v) AS valid, count(*) FILTER (v AND NOT in_use) AS available, count(*) FILTER (v AND in_use) AS in_use, count(*) FILTER (NOT v) AS expired FROM (SELECT in_use, {_SECONDS.format('2024-01-01 03:00:00', 'created_at')} <= {Q.LIFETIME_S} AS v FROM leases)",
+        "reset_pool": "SELECT n AS id, false AS in_use, n AS pos FROM (SELECT unnest(range(1, 11)) AS n)",
+        "top_k": f"SELECT * FROM ({_search('levenshtein')}) WHERE rank <= 10",
         "update_generic": f"WITH {_CUSTOMERS} SELECT key, CASE WHEN EXISTS (SELECT 1 FROM orders WHERE o_custkey = key) THEN value || '!' ELSE value END AS value FROM held",
         "field_update": "SELECT p_partkey AS key, CASE WHEN p_size = 7 THEN 'updated' ELSE p_name END AS p_name, p_size, CASE WHEN p_size = 7 THEN 25.5 ELSE p_retailprice END AS p_retailprice FROM part",
         "delete_batch": f"WITH {_CUSTOMERS} SELECT key, value FROM held WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = key AND o_orderstatus = 'P' AND o_totalprice > 300000)",

@@ -1,12 +1,15 @@
 import random
+import time
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from rankloom.operators import changelog as C
-from rankloom.operators import frame
+from rankloom.operators import frame, resources
 from rankloom.operators.sorting import OrderBy, sort_by_field, sort_by_fields
-from rankloom.streaming.changelog_stream import refold_each_batch, stream_fold
+from rankloom.sources.io import read_files, read_jdbc, write_files
+from rankloom.streaming.changelog_stream import fold_each_batch, maintained_each, stream_fold, windowed_counts
 
 PEOPLE = [(1, (3, "Charlie", 85.0)), (2, (1, "Alice", 90.0)), (3, (2, "Bob", 75.0))]
 KIND = "struct<ID: bigint, Name: string, Score: double>"
@@ -108,7 +111,126 @@ def test_streams(spark, tmp_path):
     assert last["b"]["value"] == 6 and last["b"]["_pos"] == 2
     assert last["a"]["value"] == 5 and last["a"]["_pos"] == 4
     seen = []
-    q = refold_each_batch(stream, str(tmp_path / "log"), lambda df, n: seen.append(order(df))).option("checkpointLocation", str(tmp_path / "c2")).start()
+    q = fold_each_batch(stream, str(tmp_path / "log"), lambda df, n: seen.append(order(df))).option("checkpointLocation", str(tmp_path / "c2")).start()
     q.processAllAvailable()
     q.stop()
     assert seen[-1] == [("b", 6), ("a", 5)]
+
+
+def test_sums_equal_replay(spark):
+    rng = random.Random(5)
+    rows = [(i, op, None if op == "clear" else rng.choice("abcde"), rng.randint(0, 9)) for i, op in enumerate(rng.choices(["set", "update", "set_or_update", "update_generic", "delete"] * 8 + ["clear"], k=200))]
+    assert order(C.fold_sums(ops(spark, rows))) == order(C.fold(ops(spark, rows), F.lit(0), lambda v, x: v + x))
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_failed_updates(spark, seed):
+    """A failed update leaves the value, or zero where the key was absent; update_generic of an absent key is an error."""
+    rng = random.Random(seed)
+    kinds = ["set", "update", "update", "set_or_update", "update_generic", "delete"] * 6 + ["clear"]
+    rows = [(i, op, None if op == "clear" else rng.choice("abcd"), rng.randint(0, 9)) for i, op in enumerate(rng.choices(kinds, k=120))]
+    held, errors = {}, []
+    for seq, op, key, arg in rows:
+        if op == "clear":
+            held = {}
+        elif op == "delete":
+            held.pop(key, None)
+        elif op == "set" or op == "set_or_update" and key not in held:
+            held[key] = arg
+        elif op == "update_generic" and key not in held:
+            errors.append((seq, key, "key not found"))
+        else:
+            value = held.setdefault(key, 0)
+            if op != "set_or_update" and value + arg > 12:
+                errors.append((seq, key, "too much"))
+            else:
+                held[key] = value + arg
+    too_much = lambda v, x: F.when(v + x > 12, F.lit("too much"))
+    add = lambda v, x: v + x
+    assert order(C.fold(ops(spark, rows), F.lit(0), add, fails=too_much)) == list(held.items())
+    assert sorted(map(tuple, C.fold_errors(ops(spark, rows), F.lit(0), add, fails=too_much).collect())) == errors and errors
+
+
+def test_pool_operations(spark):
+    now = F.lit("2024-01-01 01:00:00").cast("timestamp")
+    df = spark.createDataFrame([("a", "2024-01-01 00:50:00", True, 0), ("b", "2024-01-01 00:00:00", True, 1), ("c", "2024-01-01 00:55:00", False, 2)], "id string, at string, in_use boolean, _pos long")
+    df = df.select("id", F.col("at").cast("timestamp").alias("created_at"), F.col("at").cast("timestamp").alias("last_used"), "in_use", "_pos")
+    wanted = spark.createDataFrame([("a",), ("c",), ("x",)], "id string")
+    out = {r["id"]: r for r in resources.released(df, wanted, now).collect()}
+    assert [out[k]["in_use"] for k in "abc"] == [False, True, False]
+    assert [out[k]["last_used"].minute for k in "abc"] == [0, 0, 55]
+    assert sorted(map(tuple, resources.release_errors(df, wanted).collect())) == [("c", "not in use"), ("x", "not found")]
+    left, counts = resources.maintained(df, now, 1200)
+    assert [r["id"] for r in left.orderBy("_pos").collect()] == ["a", "c"] and tuple(counts.first()) == (2, 1, 1, 1)
+    assert [tuple(r)[0] for r in resources.reset(df, 2, now).orderBy("_pos").collect()] == ["r1", "r2"]
+    assert resources.reset(df, 2, now).filter("in_use").count() == 0
+
+
+def test_maintenance_stream(spark, tmp_path):
+    df = spark.createDataFrame([("a", 0, False), ("b", 10**10, True)], "id string, at long, in_use boolean").select("id", F.timestamp_seconds("at").alias("created_at"), "in_use")
+    seen = []
+    q = maintained_each(spark, lambda: df, lambda left, counts: seen.append((left.count(), tuple(counts.first()))), 60.0, "1 second").option("checkpointLocation", str(tmp_path / "c")).start()
+    for _ in range(60):
+        if seen:
+            break
+        time.sleep(0.5)
+    q.stop()
+    assert seen[0] == (1, (1, 0, 1, 1))
+
+
+def test_windowed_counts(spark, tmp_path):
+    events = spark.createDataFrame([("2024-01-01 00:01:00", "set"), ("2024-01-01 00:02:00", "set"), ("2024-01-01 00:11:00", "delete"), ("2024-01-01 02:00:00", "set")], "ts string, op string").withColumn("ts", F.col("ts").cast("timestamp"))
+    events.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("ts timestamp, op string").parquet(str(tmp_path / "in"))
+    q = windowed_counts(stream).writeStream.outputMode("append").format("memory").queryName("windows").option("checkpointLocation", str(tmp_path / "c")).start()
+    q.processAllAvailable()
+    q.stop()
+    assert {(r["window"]["start"].minute, r["op"], r["n"]) for r in spark.table("windows").collect()} == {(0, "set", 2), (10, "delete", 1)}
+
+
+@pytest.mark.parametrize("fmt,options", [("parquet", {}), ("orc", {}), ("json", {}), ("csv", {"header": "true", "quote": '"', "escape": '"'})])
+def test_files_round_trip(spark, tmp_path, fmt, options):
+    rows = [("a", 1, 1.5, "2024-01-01"), ('q"uo,te', None, -2.0, "2024-01-02"), ("é", 3, None, "2024-01-02")]
+    schema = "key string, n long, x double, day string"
+    df = spark.createDataFrame(rows, schema)
+    path = str(tmp_path / fmt)
+    write_files(df, path, fmt, partition_by=["day"], **options)
+    held = read_files(spark, path, fmt, None if fmt in ("parquet", "orc") else schema, **options)
+    assert sorted(map(repr, (tuple(r) for r in held.select("key", "n", "x", F.col("day").cast("string")).collect()))) == sorted(map(repr, rows))
+    assert "day=2024-01-01" in held.filter("day = '2024-01-01'")._jdf.queryExecution().executedPlan().toString() or held.filter("day = '2024-01-01'").count() == 1
+    write_files(df.limit(1), path, fmt, "overwrite", **options)
+    assert read_files(spark, path, fmt, schema, **options).count() == 1
+    with pytest.raises(AnalysisException):
+        write_files(df, path, fmt, **options)
+    if fmt in ("json", "csv"):
+        with pytest.raises(ValueError):
+            read_files(spark, path, fmt)
+
+
+def test_jdbc_options(monkeypatch):
+    """The options that reach the reader; no database is at hand."""
+    calls = {}
+
+    class Reader:
+        def format(self, name):
+            calls["format"] = name
+            return self
+
+        def options(self, **kw):
+            calls.update(kw)
+            return self
+
+        def load(self):
+            return "rows"
+
+    class Session:
+        read = Reader()
+
+    assert read_jdbc(Session(), "jdbc:x", "t", "id", 0, 100, 4, fetchsize="10") == "rows"
+    assert calls == {"format": "jdbc", "url": "jdbc:x", "dbtable": "t", "partitionColumn": "id", "lowerBound": "0", "upperBound": "100", "numPartitions": "4", "fetchsize": "10"}
+
+
+def test_empty_with_capacity(spark):
+    from pyspark.sql.types import LongType, StringType
+
+    assert frame.empty(spark, StringType(), LongType(), 10).count() == 0
