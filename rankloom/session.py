@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -26,12 +27,15 @@ def build_session(app: str = "rankloom", cpus: int | str = "*", shuffle_partitio
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one of our own only where that is unset."""
+    """The folder named by spark.checkpoint.dir; where that is unset a temporary one of our own, on local masters only: on
+    a cluster each machine would have another."""
     conf = spark.conf.get("spark.checkpoint.dir", None)
     if conf:
         return conf.rstrip("/")
     held = spark.sparkContext.getCheckpointDir()
     if not held:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="rankloom-"))
         held = spark.sparkContext.getCheckpointDir()
     return held.rstrip("/")
