@@ -27,36 +27,50 @@ def _columns(df: DataFrame) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter go, and those of no predominant language. lang is the predicted one."""
-    found = identified(docs, train(docs, in_held_out_fold(F.col("doc_id")))).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SHARE))
-    return _columns(docs.join(found, F.col("doc_id") == F.col("id")).withColumn("lang", F.col("lang_pred")))
+    """Documents without a letter go, and those of no predominant language. lang is the predicted one.
+
+    Rows are judged one by one: null and empty texts go, repeated rows and ids stay as often as they came, very long texts
+    are read whole. An empty table gives an empty one."""
+    found = identified(docs, train(docs, in_held_out_fold(F.col("doc_id"))))
+    return _columns(found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SHARE)).withColumn("lang", F.col("lang_pred")))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that repeat an earlier one go; documents of which no word is left by that go too."""
+    """Lines that repeat an earlier one go; documents of which no word is left by that go too.
+
+    Null texts and blank lines stay; equal rows are one document and get equal results; texts of one id are told apart.
+    An empty table gives an empty one."""
     out = without_near_lines(docs)
     return _columns(out.filter((F.col("_n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document of the smallest doc_id stays."""
-    kept = near_duplicates(docs).filter("id = component_id").select("id").distinct()
-    return _columns(docs.join(kept, F.col("doc_id") == F.col("id"), "left_semi"))
+    """Of each group of near copies the document of the smallest doc_id (null: the least) stays.
+
+    Null and empty texts are copies of each other; rows of one id stay or go together; very long texts are compared whole.
+    An empty table gives an empty one."""
+    kept = near_duplicates(docs).filter("id <=> component_id").select("id").distinct()
+    return _columns(docs.join(kept, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
+    """Each document as often as the mix takes it.
+
+    Texts without a word are never taken; rows of one id count as one document; a null source is a source. An empty table
+    gives an empty one."""
     return _columns(copies(docs))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents, with copies as documents of their own, in their sequences."""
+    """Pieces of all documents, with copies as documents of their own, in their sequences.
+
+    A null or empty text is one end id; very long texts are cut into several pieces. An empty table gives an empty one."""
     return packed_documents(docs)
 
 
 STAGES = [("language", language), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("mixing", mixing), ("packing", packing)]
 
-#: SQL can't express the trained model, MinHash or tokens; the stages are tested against brute force.
+#: SQL can't express the trained model, MinHash or tokens; tests hold each stage's rows against a brute-force version.
 ORACLE_SQL = None
 
 
