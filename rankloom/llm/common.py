@@ -92,54 +92,6 @@ def once(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-class Linker:
-    """Links among sets that come one by one: each new set is compared until it is connected to every component that
-    holds a set with a Jaccard of least, so what comes out connects all that such pairs connect.
-
-    Sets that reach least share one of the first few items of either, in any fixed order: only those meet. Their
-    members are held by component, so a component that is connected already costs one look."""
-
-    def __init__(self, least: float, shared: Callable):
-        self.least, self.shared = least, shared
-        self.held: list[tuple] = []
-        self.parent: list[int] = []
-        self.index: dict = {}
-
-    def _find(self, i: int) -> int:
-        while self.parent[i] != i:
-            self.parent[i] = self.parent[self.parent[i]]
-            i = self.parent[i]
-        return i
-
-    def add(self, node, items, ordered: list) -> list:
-        """Nodes that node is linked to. items: the set, ordered: the same in the fixed order."""
-        me, n = len(self.held), len(ordered)
-        self.held.append((node, items, n))
-        self.parent.append(me)
-        out, seen = [], set()
-        prefix = ordered[: n - math.ceil(n * self.least - 1e-9) + 1] if n else [None]
-        for x in prefix:
-            for root, members in self.index.get(x, {}).items():
-                if self._find(root) == self._find(me):
-                    continue
-                for other in members:
-                    if other in seen:
-                        continue
-                    seen.add(other)
-                    name, them, m = self.held[other]
-                    if min(n, m) < self.least * max(n, m):
-                        continue
-                    both = self.shared(items, them)
-                    if both >= self.least * (n + m - both):
-                        self.parent[self._find(me)] = self._find(other)
-                        out.append(name)
-                        break
-        mine = self._find(me)
-        for x in prefix:
-            self.index.setdefault(x, {}).setdefault(mine, []).append(me)
-        return out
-
-
 #: Sets up to which all that aren't connected yet are compared, without an index.
 FEW = 8
 

@@ -7,20 +7,21 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from rankloom.llm.common import documents
-from rankloom.llm.tokens import batches_of
 
 #: The training sample: so many documents of each language at most, a window of so many characters of each.
 SAMPLE_DOCS, SAMPLE_CHARS = 400, 1500
 #: Languages that are learned at most, as the model has a weight for each feature and language; more are an error.
 MOST_LANGUAGES = 256
 FEATURE_BITS = 17
-#: Tokens that a worker remembers before it starts anew.
-MOST_TOKENS = 300_000
+#: Tokens that a task remembers before it starts anew.
+MOST_TOKENS = 100_000
 UNKNOWN = "und"
 LETTER = regex.compile(r"\p{L}")
 EDGES = regex.compile(r"^[^\p{L}]+|[^\p{L}]+$")
@@ -230,20 +231,30 @@ def predict(model: Model, texts: list[str | None]) -> tuple[list[str], list[floa
     return langs, scores
 
 
-def identified(df: DataFrame, model: Model | None, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, lang_pred, score) for each row. und with score 0: a null text, one without a letter, or no model."""
+def identified(df: DataFrame, model: Model | None, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """The columns in keep (all if None) of each row of df, with lang_pred and score, which replace columns of those names.
+
+    und with score 0: a null text, one without a letter, or no model. Rows are predicted on their own, so repeated rows
+    and ids, texts of any length and an empty table need nothing special; other columns may have any names."""
     held = df.sparkSession.sparkContext.broadcast(model)  # fixed size: features x languages
+    keep = [c for c in (df.columns if keep is None else keep) if c.lower() not in ("lang_pred", "score")]
+    shown = df.select(*(F.col(f"`{c}`") for c in keep), *([] if text in keep else [F.col(text).alias("_language_text")]))
+    at = keep.index(text) if text in keep else len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            langs, scores = [], []
-            for _, texts in batches_of(b.column(1), 8_000_000):
-                more = predict(held.value, texts) if held.value is not None else ([UNKNOWN] * len(texts), [0.0] * len(texts))
-                langs += more[0]
-                scores += more[1]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["id", "lang_pred", "score"])
+            langs, scores = np.full(b.num_rows, UNKNOWN, dtype=object), np.zeros(b.num_rows)
+            sizes = np.asarray(pc.binary_length(b.column(at)).fill_null(0))
+            order = np.argsort(-sizes, kind="stable")  # texts of about one length take about as many steps
+            for part in np.split(order, np.flatnonzero(np.diff(np.cumsum(sizes[order]) // 4_000_000)) + 1):
+                if held.value is not None:
+                    langs[part], scores[part] = predict(held.value, b.column(at).take(pa.array(part)).to_pylist())
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(langs, pa.string()), pa.array(scores)], names=[*keep, "lang_pred", "score"])
+        if held.value is not None:  # the worker lives on
+            held.value.tokens.clear()
+            held.value.held.clear()
 
-    return df.select(F.col(id_column).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, "id long, lang_pred string, score double")
+    return shown.mapInArrow(run, StructType([*shown.schema.fields[: len(keep)], StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
 
 
 def in_held_out_fold(doc_id):
@@ -253,5 +264,4 @@ def in_held_out_fold(doc_id):
 def op9_language(spark, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = train(docs, in_held_out_fold(F.col("doc_id")))
-    out = identified(docs, model)
-    return out.select(F.col("id").alias("doc_id"), in_held_out_fold(F.col("id")).alias("held_out"), "lang_pred", "score")
+    return identified(docs, model, keep=["doc_id"]).select("doc_id", in_held_out_fold(F.col("doc_id")).alias("held_out"), "lang_pred", "score")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import Linker, components, documents
+from rankloom.llm.common import components, documents, in_parts, maybe_among, spanning_pairs
 from rankloom.llm.tokens import batches_of
 from rankloom.session import written
 
@@ -178,11 +178,9 @@ def op8_simhash(spark, sf_dir: str) -> DataFrame:
 
 
 # --- near duplicates by likeness ------------------------------------------------------------------------------------
-#: Fingerprints of two-word shingles that a document has, the radius in each, and what a link must reach: a Jaccard of
-#: LEAST over shingles of WORDS words. Pairs at 0.8 that differ in scattered single words differ in about 6 of 64 bits:
-#: 35 % of them in 4 at most, in one of 8 fingerprints 97 %. Where a passage is cut or added it is about 9.5 bits, which
-#: fingerprints mostly miss.
-FINGERPRINTS, RADIUS, WORDS, LEAST = 8, 4, 5, 0.8
+#: Words of a shingle, the Jaccard that a link must reach, and the radius of the covering masks over SimHashes of the
+#: same shingles. Pairs at 0.8 differ in about 9 of 64 bits, so the masks catch the closest pairs only.
+WORDS, LEAST, RADIUS = 5, 0.8, 3
 #: Bands of the MinHash of the compared sets, and rows of each: whatever the edit, a pair at 0.8 shares one of them with
 #: 1 - (1 - 0.8^6)^32 = 99.99 %.
 BANDS, ROWS = 32, 6
@@ -190,62 +188,68 @@ BANDS, ROWS = 32, 6
 CHUNK = 4000
 
 
-def remixed(hashes: np.ndarray, k: int) -> np.ndarray:
-    """Hashes for fingerprint k."""
-    with np.errstate(over="ignore"):
-        h = (hashes + np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) * np.uint64(0xBF58476D1CE4E5B9)
-        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return h ^ (h >> np.uint64(31))
-
-
 @functools.cache
-def _factors() -> tuple[np.ndarray, np.ndarray]:
-    rng = np.random.default_rng(11)
-    return rng.integers(1, 1 << 32, (BANDS * ROWS, 1), dtype=np.uint32) | np.uint32(1), rng.integers(0, 1 << 32, (BANDS * ROWS, 1), dtype=np.uint32)
+def _factors(n: int) -> np.ndarray:
+    return np.random.default_rng(11).integers(1, 1 << 32, (n, 1), dtype=np.uint32) | np.uint32(1)
 
 
-def band_keys(hashes: np.ndarray) -> np.ndarray:
-    """BANDS signed 64-bit keys of a set of hashes: each of its number and ROWS minima of permuted hashes."""
-    a, b = _factors()
+def band_keys(hashes: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
+    """A 32-bit key for each band of a set of hashes: of its number and the minima of permuted hashes. Keys that meet by
+    chance only cost a comparison."""
     h = (hashes >> np.uint64(32)).astype(np.uint32)
-    least = np.full(BANDS * ROWS, (1 << 32) - 1, dtype=np.uint32)
+    least = np.full(bands * rows, (1 << 32) - 1, dtype=np.uint32)
     with np.errstate(over="ignore"):
-        for at in range(0, len(h), 1024):  # in pieces that stay in the processor's cache
-            mixed = h[at : at + 1024] ^ b
-            mixed *= a
-            np.minimum(least, mixed.min(axis=1), out=least)
-        key = np.arange(1, BANDS + 1, dtype=np.uint64)
-        for row in least.reshape(BANDS, ROWS).T:
+        for at in range(0, len(h), 1024):  # in pieces that stay in the processor's cache; an odd factor permutes
+            np.minimum(least, (h[at : at + 1024] * _factors(bands * rows)).min(axis=1), out=least)
+        key = np.arange(1, bands + 1, dtype=np.uint64)
+        for row in least.reshape(bands, rows).T:
             key = (key ^ row) * np.uint64(0x9E3779B97F4A7C15)
             key ^= key >> np.uint64(32)
-    return key.view(np.int64)
+    return (key >> np.uint64(32)).astype(np.uint32)
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """(id, same, fps, bands): same tells equal texts, null as empty."""
+    """(id, same, fp, n, bands): same tells equal texts, null as empty; n: how many different shingles a text has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            same, fps, bands = [], [], []
-            for _, texts in batches_of(b.column(1), 16_000_000):
+            for a, texts in batches_of(b.column(1), 4_000_000):
+                same, fps, n, bands = [], [], [], []
                 for t in texts:
-                    h = shingle_hashes(t, 2)
+                    h = shingle_hashes(t, WORDS)
+                    n.append(len(np.unique(h)))
                     same.append(xxhash.xxh3_128_digest((t or "").encode("utf-8", "surrogatepass")))
-                    fps.append(np.array([signed(majority(remixed(h, k))) for k in range(FINGERPRINTS)], dtype=np.int64))
-                    bands.append(band_keys(shingle_hashes(t, WORDS)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(same, pa.binary()), pa.array(fps, pa.list_(pa.int64())), pa.array(bands, pa.list_(pa.int64()))], names=["id", "same", "fps", "bands"])
+                    fps.append(signed(majority(h)))
+                    bands.append(band_keys(h).tobytes())
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(a, len(texts)), pa.array(same, pa.binary()), pa.array(fps, pa.int64()), pa.array(n, pa.int64()), pa.array(bands, pa.binary())], names=["id", "same", "fp", "n", "bands"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("id"), "text").mapInArrow(run, "id long, same binary, fp long, n long, bands binary")
+
+
+def covering_links(reps: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(a, b): what links() connects for rows (node, fp) of which some share a fingerprint."""
+    heads = written(reps.groupBy("fp").agg(F.min("node").alias("head")), "heads")
+    equal = reps.select("node", "fp").join(heads, "fp").filter("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
+    return links(heads.select(F.col("head").alias("node"), "fp"), radius).unionAll(equal)
 
-    return docs.select(F.col("doc_id").cast("long").alias("id"), "text").mapInArrow(run, "id long, same binary, fps array<long>, bands array<long>")
 
+#: A band key of a set of n hashes.
+PAIR = np.dtype([("key", "<u4"), ("n", "<u4"), ("node", "<i8")])
 
-def band_links(reps: DataFrame) -> DataFrame:
-    """(a, b) for rows (node, bands): the nodes of each band key as a chain. Keys and nodes travel as packed arrays."""
-    parts = max(2, int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+def band_links(reps: DataFrame, least: float = LEAST) -> DataFrame:
+    """(a, b) for rows (node, n, bands): the nodes of each band key, in order of n, as chains. A chain is cut where n grows
+    by more than 1 / least: no sets from both sides reach least. Keys and nodes travel as packed arrays."""
+    parts = in_parts(reps)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            pairs = np.stack([np.asarray(b.column(1).flatten()).view(np.uint64), np.repeat(np.asarray(b.column(0)).view(np.uint64), BANDS)], axis=1)
-            to = (pairs[:, 0] >> np.uint64(40)) % np.uint64(parts)
+            keys = np.frombuffer(b"".join(b.column(2).to_pylist()), dtype=np.uint32)
+            pairs = np.empty(len(keys), dtype=PAIR)
+            pairs["key"] = keys
+            pairs["n"] = np.repeat(np.minimum(np.asarray(b.column(1)), (1 << 32) - 1), len(keys) // b.num_rows)
+            pairs["node"] = np.repeat(np.asarray(b.column(0)), len(keys) // b.num_rows)
+            to = (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(parts)
             order = np.argsort(to, kind="stable")
             edges = np.searchsorted(to[order], np.arange(parts + 1))
             some = np.flatnonzero(np.diff(edges)).tolist()
@@ -258,126 +262,72 @@ def band_links(reps: DataFrame) -> DataFrame:
             if held:
                 pairs = np.concatenate(held)
                 held.clear()
-                key, node = pairs[np.lexsort((pairs[:, 1].view(np.int64), pairs[:, 0]))].T
-                same = np.flatnonzero(key[1:] == key[:-1])
-                yield pa.RecordBatch.from_arrays([pa.array(node[same].view(np.int64)), pa.array(node[same + 1].view(np.int64))], names=["a", "b"])
+                pairs = pairs[np.lexsort((pairs["node"], pairs["n"], pairs["key"]))]
+                n = pairs["n"].astype(np.float64)
+                near = np.flatnonzero((pairs["key"][1:] == pairs["key"][:-1]) & (n[:-1] >= least * n[1:] - 1e-9))
+                node = np.ascontiguousarray(pairs["node"])
+                yield pa.RecordBatch.from_arrays([pa.array(node[near]), pa.array(node[near + 1])], names=["a", "b"])
 
         for b in batches:
             for p, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 if p != part:
                     yield from done()
                     part = p
-                held.append(np.frombuffer(blob, dtype=np.uint64).reshape(-1, 2))
+                held.append(np.frombuffer(blob, dtype=PAIR))
         yield from done()
 
-    dealt = reps.select("node", "bands").mapInArrow(deal, "part int, pairs binary").repartition(parts, "part").sortWithinPartitions("part")
+    dealt = reps.select("node", "n", "bands").mapInArrow(deal, "part int, pairs binary").repartition(parts, "part").sortWithinPartitions("part")
     return dealt.mapInArrow(link, "a long, b long")
 
 
-def packed_links(reps: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """links() for rows (node, fps) with several fingerprints: pairs within radius in one of them. Fingerprints and
-    nodes travel as packed arrays, dealt by mask and masked bits; what a task needs besides follows from them."""
-    masks = covering_masks(radius)
-    parts = max(2, int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            node = np.asarray(b.column(0))
-            fps = np.asarray(b.column(1).flatten()).view(np.uint64).reshape(len(node), -1)
-            to, table, blob = [], [], []
-            for f in range(fps.shape[1]):
-                for m, mask in enumerate(masks):
-                    with np.errstate(over="ignore"):
-                        part = ((fps[:, f] & np.uint64(mask)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(parts)
-                    order = np.argsort(part, kind="stable")
-                    edges = np.searchsorted(part[order], np.arange(parts + 1))
-                    rows = np.stack([fps[order, f], node[order].view(np.uint64)])
-                    for p in np.flatnonzero(np.diff(edges)).tolist():
-                        to.append(p)
-                        table.append(f * len(masks) + m)
-                        blob.append(rows[:, edges[p] : edges[p + 1]].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array(table, pa.int32()), pa.array(blob, pa.binary())], names=["part", "table", "rows"])
+def shingle_set(text: str | None) -> np.ndarray:
+    return np.unique(shingle_hashes(text, WORDS))
 
-    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, now = [], None
 
-        def done() -> Iterator[pa.RecordBatch]:
-            if not held:
-                return
-            fp, node = np.concatenate(held, axis=1)
-            held.clear()
-            mask = masks[now[1] % len(masks)]
-            key = fp & np.uint64(mask)
-            order = np.lexsort((node, fp, key))
-            fp, node, key = fp[order], node[order], key[order]
-            a, b = [], []
-            edges = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1, [len(key)]])
-            sizes = np.diff(edges)
-            large = np.repeat(sizes > 16, sizes)
-            for d in range(1, min(16, int(sizes.max()))):  # small groups: all pairs, a distance in the order at a time
-                near = (key[d:] == key[:-d]) & ~large[d:] & (np.bitwise_count(fp[d:] ^ fp[:-d]) <= radius)
-                at = np.flatnonzero(near)
-                a.append(node[at])
-                b.append(node[at + d])
-            for k in np.flatnonzero(sizes > 16).tolist():
-                x, y = edges[k], edges[k + 1]
-                # equal fingerprints are a chain; different ones are compared
-                first = np.flatnonzero(np.concatenate([[True], fp[x + 1 : y] != fp[x : y - 1]]))
-                equal = np.flatnonzero(fp[x + 1 : y] == fp[x : y - 1]) + x
-                a.append(node[equal])
-                b.append(node[equal + 1])
-                pairs = np.array(spanning_links(fp[x:y][first], radius, ~mask & ((1 << BITS) - 1)), dtype=np.int64).reshape(-1, 2)
-                a.append(node[x:y][first][pairs[:, 0]])
-                b.append(node[x:y][first][pairs[:, 1]])
-            if a and sum(map(len, a)):
-                pairs = np.stack([np.concatenate(a), np.concatenate(b)], axis=1).view(np.int64)
-                pairs = np.unique(np.sort(pairs, axis=1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))], names=["a", "b"])
-
-        for batch in batches:
-            for p, t, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (p, t) != now:
-                    yield from done()
-                    now = (p, t)
-                held.append(np.frombuffer(blob, dtype=np.uint64).reshape(2, -1))
-        yield from done()
-
-    dealt = reps.select("node", "fps").mapInArrow(deal, "part int, table int, rows binary").repartition(parts, "part").sortWithinPartitions("part", "table")
-    return dealt.mapInArrow(link, "a long, b long").distinct()
-
-
-def verified_groups(docs: DataFrame, members: DataFrame, words: int = WORDS, least: float = LEAST) -> DataFrame:
-    """(a, b): links of members (node, g) of one group g whose word shingles reach a Jaccard of least, enough of them
-    to connect what all such pairs of the group connect."""
+def verified_groups(docs: DataFrame, members: DataFrame, hashes: Callable[[str | None], np.ndarray] = shingle_set, least: float = LEAST, kind: type = np.int64) -> DataFrame:
+    """(a, b): links of members (node, g) of one group g whose sets hashes(text), ascending and of kind's size, reach a
+    Jaccard of least, enough of them to connect what all such pairs of the group connect. Sets are moved, not texts."""
     spark = docs.sparkSession
     parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [np.unique(shingle_hashes(t, words)).view(np.int64) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int64()))], names=["node", "sh"])
+            for a, texts in batches_of(b.column(1), 4_000_000):
+                found = [hashes(t) for t in texts]
+                ends = np.cumsum([0, *map(len, found)])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(a, len(texts)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(found).view(kind)))], names=["node", "sh"])
 
     sizes = members.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("s"))
     chunk = F.pmod(F.xxhash64("node"), F.col("s")).cast("int")
     cells = F.transform(F.sequence(F.lit(0), F.col("s") - 1), lambda x: F.struct(F.least(x, F.col("c")).alias("i"), F.greatest(x, F.col("c")).alias("j")))
     dealt = members.join(sizes, "g").withColumn("c", chunk).select("g", "node", F.explode(cells).alias("cell"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(members.select("node"), "node", "left_semi").mapInArrow(sets, "node long, sh array<long>")
+    some = maybe_among(docs.select(F.col("doc_id").cast("long").alias("node"), "text"), F.xxhash64("node"), members.select(F.xxhash64("node")))
+    texts = some.mapInArrow(sets, f"node long, sh array<{'int' if kind is np.int32 else 'long'}>")
     rows = dealt.join(texts, "node").select("g", "cell.i", "cell.j", "node", "sh").repartition(parts, "g", "i", "j").sortWithinPartitions("g", "i", "j", "node")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cell = linker = None
+        cell, held, sets, out = None, [], [], []
+
+        def done() -> None:
+            nonlocal held, sets
+            if len(held) > 1:
+                out.extend((held[i], held[j]) for i, j in spanning_pairs(sets, least))
+            held, sets = [], []
+
         for b in batches:
-            out = []
-            g, i, j, nodes = (b.column(k).to_pylist() for k in range(4))
             values, ends = np.asarray(b.column(4).flatten()), np.concatenate([[0], np.cumsum(np.asarray(b.column(4).value_lengths()))])
-            for r, node in enumerate(nodes):
-                if (g[r], i[r], j[r]) != cell:
-                    cell, linker = (g[r], i[r], j[r]), Linker(least, lambda x, y: len(np.intersect1d(x, y, assume_unique=True)))
-                own = values[ends[r] : ends[r + 1]]
-                out += [(x, node) for x in linker.add(node, own, own.tolist())]
-            if out:
-                a, c = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64())], names=["a", "b"])
+            for r, (g, i, j, node) in enumerate(zip(*(c.to_pylist() for c in b.columns[:4]), strict=True)):
+                if (g, i, j) != cell:
+                    done()
+                    cell = (g, i, j)
+                held.append(node)
+                sets.append(values[ends[r] : ends[r + 1]].copy())
+            if len(out) > 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
+                out.clear()
+        done()
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
 
     return rows.mapInArrow(compare, "a long, b long")
 
@@ -385,16 +335,18 @@ def verified_groups(docs: DataFrame, members: DataFrame, words: int = WORDS, lea
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(id, component_id) for rows of docs (doc_id, text): documents are linked if their texts are equal, or if their
     sets of WORDS-word shingles reach a Jaccard of LEAST and they are proposed: by SimHashes that collide under a covering
-    mask within RADIUS in one of FINGERPRINTS, or by MinHashes that share one of BANDS. component_id is the smallest doc_id that links reach.
+    mask within RADIUS, or by MinHashes that share one of BANDS. component_id is the smallest doc_id that links reach.
 
-    Null texts count as empty, and texts without words are alike. Ids must tell rows apart; an empty table gives an
-    empty one."""
+    Null texts count as empty, and texts without words are alike; texts have any length. A row has the
+    component of its text, also where an id has several. A null id is one id, the least, and null in the result. An empty
+    table gives an empty one."""
+    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc_id"), "text")
     rows = written(digests(docs), "digests")
-    reps = written(rows.groupBy("same").agg(F.min("id").alias("node"), F.first("fps").alias("fps"), F.first("bands").alias("bands")), "reps", "zstd")
-    near = written(packed_links(reps).unionAll(band_links(reps)), "links")
-    docs.sparkSession.sparkContext._jvm.System.gc()  # shuffle files of finished steps go now
+    reps = rows.groupBy("same").agg(F.min("id").alias("node"), *(F.first(c).alias(c) for c in ("fp", "n", "bands")))
+    near = written(covering_links(reps).unionAll(band_links(reps)), "links")
     groups = written(components(near).select("node", F.col("component").alias("g")), "groups")
     links = written(verified_groups(docs, groups), "verified")
     parts = components(links)
     named = reps.select("same", "node").join(parts, "node", "left").select("same", F.coalesce("component", "node").alias("component_id"))
-    return rows.select("id", "same").join(named, "same").select("id", "component_id")
+    shown = (F.when(F.col(c) != F.lit(-(2**63)), F.col(c)).alias(c) for c in ("id", "component_id"))
+    return rows.select("id", "same").join(named, "same").select(*shown)
