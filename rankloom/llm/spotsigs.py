@@ -2,27 +2,29 @@
 
 from __future__ import annotations
 
+import base64
 import hashlib
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
 
-from rankloom.llm.common import documents
+from rankloom.llm.common import components, documents
 from rankloom.llm.quality import STOP_WORDS
+from rankloom.llm.simhash import LEAST, band_keys, band_links, verified_groups
 from rankloom.llm.tokens import batches_of
 from rankloom.session import written
 
 ANCHORS = frozenset(STOP_WORDS.split())
 TERM = regex.compile(r"[^\W_]+")
+#: Bands of MinHashes of the signatures, and rows of each.
+BANDS, ROWS = 16, 5
 #: Words that a worker remembers before it starts anew.
-MOST_WORDS = 500_000
+MOST_WORDS = 150_000
 
 
 class _Words(dict):
@@ -39,7 +41,7 @@ _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B
 
 
 def spot_signatures(text: str | None) -> np.ndarray:
-    """The sorted set of signatures: each anchor with the next two content words, anchors between them skipped.
+    """The sorted set of 32-bit signatures: each anchor with the next two content words, anchors between them skipped.
 
     A text without any is one signature of all its words, and one without words of itself (null: empty)."""
     shown = (text or "").lower()
@@ -57,21 +59,27 @@ def spot_signatures(text: str | None) -> np.ndarray:
         found ^= found >> np.uint64(32)
         found *= _ODD[0]
     if len(found):
-        return np.unique(found)
-    return np.array([xxhash.xxh64_intdigest((" ".join(words) or shown).encode("utf-8", "surrogatepass"), 1)], dtype=np.uint64)
+        return np.unique((found >> np.uint64(32)).astype(np.uint32))
+    return np.array([xxhash.xxh32_intdigest((" ".join(words) or shown).encode("utf-8", "surrogatepass"), 1)], dtype=np.uint32)
 
 
 def fingerprint(signatures: np.ndarray) -> str:
-    """The number of signatures and a 128-bit digest of their set."""
-    return f"{len(signatures)}-{xxhash.xxh3_128_hexdigest(signatures.astype('<u8').tobytes())}"
+    """The set itself: Base64 of the ascending signatures as little-endian 32-bit integers, so that the likeness of two
+    fingerprints follows from them alone."""
+    return base64.b64encode(signatures.astype("<u4").tobytes()).decode("ascii")
 
 
-def pruned_jaccard(a: np.ndarray, b: np.ndarray, least: float = 0.0) -> float:
-    """Jaccard of two sorted sets, or 0 if their lengths alone rule out least."""
-    if min(len(a), len(b)) < least * max(len(a), len(b)):
-        return 0.0
-    shared = len(np.intersect1d(a, b, assume_unique=True))
-    return shared / (len(a) + len(b) - shared)
+def signatures_of(shown: str) -> np.ndarray:
+    """The set that a fingerprint shows."""
+    return np.frombuffer(base64.b64decode(shown), dtype="<u4")
+
+
+def likeness(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard of two ascending sets."""
+    both = np.concatenate([a, b])
+    both.sort(kind="stable")
+    shared = int(np.count_nonzero(both[1:] == both[:-1]))
+    return shared / (len(both) - shared)
 
 
 def edited(text: str, following: str) -> str:
@@ -80,10 +88,11 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-def with_following(docs: DataFrame, partitions: int) -> DataFrame:
-    """(bucket, extra, doc_id, text) dealt and sorted so that each row's follower, by descending doc_id and then text,
-    comes next. A bucket is a range of ids; the first rows of the next lower bucket are sent along with it as extra
-    rows, those of the highest with the lowest. Texts are shuffled once."""
+def with_following(docs: DataFrame, classes: DataFrame, partitions: int) -> DataFrame:
+    """(bucket, extra, doc_id, class_id, text) dealt and sorted so that each row's follower, by descending doc_id and then
+    text, comes next. A bucket is a range of ids; the first rows of the next lower bucket are sent along with it as extra
+    rows, those of the highest with the lowest. Texts are shuffled once; rows of classes (id, class_id) go with them, each
+    before the documents of its id."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     cuts = rows.agg(F.percentile_approx("doc_id", [i / partitions for i in range(1, partitions)], 100 * partitions)).first()[0] or []
     cuts = sorted(set(cuts))
@@ -92,16 +101,18 @@ def with_following(docs: DataFrame, partitions: int) -> DataFrame:
     bucket = _cuts_below(held, len(cuts), F.col("doc_id"))
     rows = rows.withColumn("bucket", bucket)
     firsts = sorted((r["bucket"], r["top"]) for r in rows.filter("doc_id is not null").groupBy("bucket").agg(F.max("doc_id").alias("top")).collect())
+    no_class = F.lit(None).cast("long").alias("class_id")
     if not firsts:
-        return rows.select("bucket", F.lit(0).alias("extra"), "doc_id", "text").filter("false")
+        return rows.select("bucket", F.lit(0).alias("extra"), "doc_id", no_class, "text").filter("false")
     names = [b for b, _ in firsts]
     above = {top: names[(i + 1) % len(names)] for i, (_, top) in enumerate(firsts)}
     # a row for each bucket: as many as partitions
     tops = docs.sparkSession.createDataFrame(list(above.items()), "_top long, _above int")
     own = F.struct("bucket", F.lit(0).alias("extra"))
     places = F.when(F.col("_above").isNotNull(), F.array(own, F.struct(F.col("_above").alias("bucket"), F.lit(1).alias("extra")))).otherwise(F.array(own))
-    dealt = rows.join(F.broadcast(tops), F.col("doc_id") == F.col("_top"), "left").filter("doc_id is not null").select(F.explode(places).alias("p"), "doc_id", "text").select("p.bucket", "p.extra", "doc_id", "text")
-    return dealt.repartitionById(len(cuts) + 1, F.col("bucket")).sortWithinPartitions("bucket", "extra", F.desc("doc_id"), F.col("text").asc_nulls_first())
+    dealt = rows.join(F.broadcast(tops), F.col("doc_id") == F.col("_top"), "left").filter("doc_id is not null").select(F.explode(places).alias("p"), "doc_id", "text").select("p.bucket", "p.extra", "doc_id", no_class, "text")
+    named = classes.select(F.col("id").alias("doc_id"), "class_id").filter("doc_id is not null and class_id is not null").select(bucket.alias("bucket"), F.lit(0).alias("extra"), "doc_id", "class_id", F.lit(None).cast("string").alias("text"))
+    return dealt.unionAll(named).repartitionById(len(cuts) + 1, F.col("bucket")).sortWithinPartitions("bucket", "extra", F.desc("doc_id"), F.col("class_id").asc_nulls_last(), F.col("text").asc_nulls_first())
 
 
 def _cuts_below(held, n: int, value):
@@ -112,81 +123,78 @@ def _cuts_below(held, n: int, value):
     return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda found, step: F.when((found + step <= n) & (F.get(held, found + step - 1) < value), found + step).otherwise(found))
 
 
-OUTPUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+OUTPUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, class_id long"
 
 
 def compared_with_following(docs: DataFrame) -> DataFrame:
-    """A row for each row of docs (doc_id, text), with the fingerprints of its text and of its edited text.
+    """A row for each row of docs (doc_id, text), with the fingerprints of its text and of its edited text, their likeness,
+    and the class of spot_classes.
 
-    Rows with equal doc_ids are ordered by text, nulls first as empty; rows without a doc_id go. A table of one row
-    follows itself."""
+    Rows with equal doc_ids are ordered by text, nulls first as empty; rows without a doc_id go. Texts have any length; a
+    table of one row follows itself, an empty one gives an empty one; other columns are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # the row before, of one bucket
+        known = (None, None)  # the last class and its id
 
         def compare(rows: list[tuple]) -> pa.RecordBatch | None:
-            nonlocal held
+            nonlocal held, known
             out = []
-            for bucket, extra, doc, text in rows:
+            for bucket, extra, doc, kind, text in rows:
+                if kind is not None:
+                    known = doc, kind
+                    continue
                 text = text or ""
                 sigs = None
                 if held is not None and held[0] == bucket:
-                    _, old, before, own = held
+                    _, old, before, own, named = held
                     sigs = spot_signatures(text)
                     new = edited(before, text)
                     changed = spot_signatures(new)
-                    out.append((old, len(before), hashlib.sha256(new.encode("utf-8", "surrogatepass")).hexdigest(), fingerprint(own), fingerprint(changed), pruned_jaccard(own, changed), pruned_jaccard(own, sigs)))
+                    out.append((old, len(before), hashlib.sha256(new.encode("utf-8", "surrogatepass")).hexdigest(), fingerprint(own), fingerprint(changed), likeness(own, changed), likeness(own, sigs), named))
                 # an extra row ends its bucket: only the first of equal ids follows
-                held = None if extra else (bucket, doc, text, spot_signatures(text) if sigs is None else sigs)
+                held = None if extra else (bucket, doc, text, spot_signatures(text) if sigs is None else sigs, known[1] if known[0] == doc else doc)
             if not out:
                 return None
             cols = list(zip(*out, strict=True))
-            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), *[pa.array(c, pa.string()) for c in cols[2:5]], *[pa.array(c, pa.float64()) for c in cols[5:]]], names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
+            kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64()]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "class_id"])
 
         for b in batches:
-            for a, texts in batches_of(b.column(3), 8_000_000):
+            for a, texts in batches_of(b.column(4), 4_000_000):
                 n = len(texts)
-                rows = list(zip(b.column(0).slice(a, n).to_pylist(), b.column(1).slice(a, n).to_pylist(), b.column(2).slice(a, n).to_pylist(), texts, strict=True))
+                rows = list(zip(*(b.column(c).slice(a, n).to_pylist() for c in range(4)), texts, strict=True))
                 if (out := compare(rows)) is not None:
                     yield out
 
     n = max(2, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return with_following(docs, n).mapInArrow(run, OUTPUT)
+    return with_following(docs, written(spot_classes(docs), "classes"), n).mapInArrow(run, OUTPUT)
 
 
-def spot_matches(docs: DataFrame, least: float = 0.8) -> DataFrame:
-    """Near-duplicates: (doc_id, class_id, links). Texts with equal sets of signatures are one class, named by its
-    smallest doc_id; links is the number of other classes whose sets reach a Jaccard of least.
+def spot_classes(docs: DataFrame) -> DataFrame:
+    """Near-duplicates by their fingerprints: (id, class_id) for each id, class_id being the smallest id reachable by links
+    of a Jaccard of LEAST or more. Ids with equal sets of signatures are one from the start.
 
-    Sets are partitioned by length: those of a partition can only match within it or the next, as the bounds grow by
-    1 / least. Of each set only a prefix of its rarest signatures is indexed, long enough that matching sets share one
-    of them in it; candidates are pruned by length and verified by the whole sets."""
+    Sets meet if they share a band of MinHashes (BANDS of ROWS: a pair at 0.8 is missed with 0.2 %), are partitioned there
+    where lengths grow by more than 1 / LEAST, and are compared by whole sets, with lengths that rule a pair out first.
+    An id with several texts gets the least of their classes; a null id is the least and null in the result."""
+    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc_id"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for a, texts in batches_of(b.column(1), 8_000_000):
+            for a, texts in batches_of(b.column(1), 4_000_000):
                 sets = [spot_signatures(t) for t in texts]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(a, len(texts)), pa.array([fingerprint(s) for s in sets]), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["doc_id", "fp", "sigs"])
-
-    sets = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp string, sigs array<long>"), "spots")
-    classes = written(sets.groupBy("fp").agg(F.min("doc_id").alias("class_id"), F.first("sigs").alias("sigs")), "classes")
-    seen = classes.select(F.explode("sigs").alias("sig")).groupBy("sig").agg(F.count(F.lit(1)).alias("df"))
-    length = F.count(F.lit(1)).over(Window.partitionBy("class_id"))
-    rarity = F.row_number().over(Window.partitionBy("class_id").orderBy("df", "sig"))
-    ranked = classes.select("class_id", F.explode("sigs").alias("sig")).join(seen, "sig").filter("df > 1").withColumns({"held": length})
-    sizes = classes.select("class_id", F.size("sigs").alias("n"), F.floor(F.log(F.size("sigs").cast("double")) / math.log(1 / least) + 1e-9).cast("int").alias("band"))
-    # signatures of one class only come first in its order and can't be shared, so they just shorten the prefix
-    prefix = ranked.withColumn("r", rarity).join(sizes, "class_id").filter(F.col("r") + (F.col("n") - F.col("held")) <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1)
-    index = prefix.select("sig", "class_id", "n", "band")
-    other = index.select("sig", F.col("class_id").alias("other_id"), F.col("n").alias("m"), F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band"))
-    pairs = index.join(other, ["sig", "band"]).filter("class_id <> other_id and m <= n and m >= n * " + str(least)).select("class_id", "other_id").distinct()
-    pairs = pairs.select(F.least("class_id", "other_id").alias("a"), F.greatest("class_id", "other_id").alias("b")).distinct()
-    left, right = classes.select(F.col("class_id").alias("a"), F.col("sigs").alias("x")), classes.select(F.col("class_id").alias("b"), F.col("sigs").alias("y"))
-    shared = F.size(F.array_intersect("x", "y"))
-    good = pairs.join(left, "a").join(right, "b").filter(shared >= least * (F.size("x") + F.size("y") - shared)).select("a", "b")
-    links = good.select(F.explode(F.array("a", "b")).alias("class_id")).groupBy("class_id").agg(F.count(F.lit(1)).alias("links"))
-    named = classes.select("fp", "class_id").join(links, "class_id", "left")
-    return sets.select("doc_id", "fp").join(named, "fp").select("doc_id", "class_id", F.coalesce("links", F.lit(0)).cast(LongType()).alias("links"))
+                same = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
+                bands = [band_keys(s.astype(np.uint64) << np.uint64(32), BANDS, ROWS).tobytes() for s in sets]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(a, len(texts)), pa.array(same, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(bands, pa.binary())], names=["id", "same", "n", "bands"])
+
+    rows = written(docs.mapInArrow(run, "id long, same binary, n long, bands binary"), "spots")
+    reps = rows.groupBy("same").agg(F.min("id").alias("node"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    groups = written(components(written(band_links(reps, LEAST), "links")).select("node", F.col("component").alias("g")), "groups")
+    parts = components(written(verified_groups(docs, groups, spot_signatures, LEAST, np.int32), "verified"))
+    named = reps.select("same", "node").join(parts, "node", "left").select("same", F.coalesce("component", "node").alias("class_id"))
+    shown = (F.when(F.col(c) != F.lit(-(2**63)), F.col(c)).alias(c) for c in ("id", "class_id"))
+    return rows.select("id", "same").join(named, "same").groupBy("id").agg(F.min("class_id").alias("class_id")).select(*shown)
 
 
 def op1_spotsigs(spark, sf_dir: str) -> DataFrame:
