@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -10,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,10 +20,22 @@ from rankloom.llm.common import documents, new_path
 
 #: Pieces, or words of other texts, that a worker's cache takes before the older half goes: bounds memory, changes no
 #: result.
-MOST_PIECES, MOST_WORDS = 400_000, 100_000
+MOST_PIECES, MOST_WORDS = 200_000, 50_000
 #: Fixed value: how the vocabulary's file splits normalised text: runs of letters, what follows an apostrophe, single
 #: numbers, runs of anything else. Here for lower-case Latin-1.
 PLAIN_PIECE = re.compile(r"[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+|'s|'t|'re|'ve|'m|'ll|'d|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^a-z0-9\s\xaa\xb2\xb3\xb5\xb9\xba\xbc-\xbe\xdf-\xf6\xf8-\xff]+")
+#: The settings of vocabulary files for which that holds.
+KNOWN = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "added_tokens": ["<|endoftext|>", "<|startoftext|>"],
+}
 #: Texts of these Latin-1 characters alone are their own NFC form, and have one-to-one lower case.
 PLAIN = bytes([*range(9, 14), *range(32, 127), *range(161, 256)])
 #: Code points that str.split takes for white space and the vocabulary's file doesn't.
@@ -72,9 +86,10 @@ class _Pieces(dict):
 
 
 class Encoder:
-    """encode() of the tokenizers library, a distinct piece at a time.
+    """encode() of the tokenizers library, for files with the KNOWN settings a distinct piece at a time; for others the
+    library encodes whole texts.
 
-    No token of this vocabulary spans pieces or white space, and its normalisation doesn't look across white space.
+    No token of such a vocabulary spans pieces or white space, and its normalisation doesn't look across white space.
     Plain texts are lower-cased and split here, and each new piece goes through the library's BPE model. Other texts go
     word by word: plain words as before, the rest through the library's whole tokenizer. Ids are held as little-endian
     32-bit integers.
@@ -85,6 +100,12 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
+        self.whole.no_truncation()
+        self.whole.no_padding()
+        with open(path, encoding="utf-8") as f:
+            file = json.load(f)
+        own = {"normalizer": file.get("normalizer"), "pre_tokenizer": file.get("pre_tokenizer"), "added_tokens": sorted(t["content"] for t in file.get("added_tokens") or [])}
+        self.by_pieces = own == KNOWN and file["model"]["type"] == "BPE"
         self.pieces = _Pieces(self.whole.model)
         self.words: dict[str, bytes] = {}
 
@@ -108,6 +129,8 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text, null as empty, as little-endian 32-bit integers."""
+        if not self.by_pieces:
+            return self._encoded([t or "" for t in texts])
         out = []
         for t in texts:
             self.pieces.trim()
@@ -127,7 +150,7 @@ def encoder(path: str) -> Encoder:
 
 def batches_of(column: pa.Array, chars: int = 4_000_000) -> Iterator[tuple[int, list]]:
     """Slices of a text column of about so many bytes, with their first row."""
-    sizes = np.asarray(column.value_lengths().fill_null(0)) if hasattr(column, "value_lengths") else np.array([len(x.as_py() or "") for x in column])
+    sizes = np.asarray(pc.binary_length(column).fill_null(0)).astype(np.int64)
     group = np.cumsum(sizes) // chars
     edges = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(column)]
     for a, b in zip(edges, edges[1:], strict=False):
