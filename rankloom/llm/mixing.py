@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.llm.common import BLANKS, WORD, documents
@@ -12,8 +12,8 @@ from rankloom.session import written
 #: Fixed by the contract: weights of sources in order of code points, repeating; the share of all sizes; the most
 #: times that a source is taken.
 WEIGHTS, SHARE, MOST_TIMES = (3, 1, 2), 1.5, 2.0
-#: Rows of one source that a task sorts.
-ROWS_IN_BIN = 20_000
+#: Estimated bytes of rows that one task orders; larger tables are ordered by ranges.
+ONE_TASK_BYTES = 1 << 20
 SEED = 20
 
 
@@ -55,22 +55,23 @@ def targets(sources: DataFrame, share: float = SHARE, most: float = MOST_TIMES)
 
 
 def by_source(rows: DataFrame, weights: tuple = WEIGHTS) -> DataFrame:
-    """(source, source_size, n, weight): sources by code point, nulls last, with weights that repeat."""
-    sums = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
+    """(source, source_size, weight, start): sources by code point, nulls last, with weights that repeat; start: the
+    sizes of all sources before."""
+    sums = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     listed = F.array(*[F.lit(float(w)) for w in weights])
-    placed = numbered(written(sums, "sources"), [F.col("source").asc_nulls_last()], "_place")
-    return placed.withColumn("weight", F.element_at(listed, ((F.col("_place") - 1) % len(weights) + 1).cast("int"))).drop("_place")
+    placed = numbered(written(sums, "sources"), [F.col("source").asc_nulls_last()], "place", {"start": "source_size"})
+    return placed.withColumn("weight", F.element_at(listed, ((F.col("place") - 1) % len(weights) + 1).cast("int"))).drop("place")
 
 
 def _with_source(rows: DataFrame, sources: DataFrame) -> DataFrame:
     """rows joined to their source. The table of sources is broadcast if its estimate is small; else its rows are
     repeated for each of 16 salts, so that a hot source spreads over as many tasks."""
-    right = sources.withColumnRenamed("source", "_source")
-    same = F.col("source").eqNullSafe(F.col("_source"))
+    right = sources.withColumnRenamed("source", "_mix_source")
+    same = F.col("source").eqNullSafe(F.col("_mix_source"))
     if small(sources, 4 << 20):
-        return rows.join(F.broadcast(right), same).drop("_source")
-    salted = right.withColumn("_salt", F.explode(F.array(*map(F.lit, range(16)))))
-    return rows.withColumn("_own", F.pmod(F.xxhash64("doc_id"), F.lit(16)).cast("int")).join(salted, same & (F.col("_own") == F.col("_salt"))).drop("_source", "_own", "_salt")
+        return rows.join(F.broadcast(right), same).drop("_mix_source")
+    salted = right.withColumn("_mix_salt", F.explode(F.array(*map(F.lit, range(16)))))
+    return rows.withColumn("_mix_own", F.pmod(F.xxhash64("doc_id"), F.lit(16)).cast("int")).join(salted, same & (F.col("_mix_own") == F.col("_mix_salt"))).drop("_mix_source", "_mix_own", "_mix_salt")
 
 
 def mix(rows: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST_TIMES, split_last: bool = True, seed: int = SEED) -> DataFrame:
@@ -80,32 +81,26 @@ def mix(rows: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: f
     doc_id and seed, until the prefix sum of sizes reaches it. The document at the end is taken in part (split_last)
     or whole if more than half of it fits. Sizes of 0 are never taken. Ties of the order fall to doc_id, then size;
     equal rows are interchangeable. A null source is a source; a null quality counts as 1, one of 0 or less as the
-    least positive weight. An empty table gives an empty one.
+    least positive weight. Columns of the added names are replaced, others may have any names. An empty table gives an
+    empty one.
 
-    No task sorts a whole source: keys are cut into bins, of about ROWS_IN_BIN rows, by their exponential law; bins
-    are summed before any sort, and a prefix over the bins' sums gives each bin its start.
+    No task sorts a whole source: rows are ordered by source and key as one, by ranges of about as many rows whatever the
+    sources and qualities are, and a source's prefix is the running sum less what its predecessors add up to.
     """
-    sources = written(targets(by_source(rows, weights), share, most).withColumn("bins", F.greatest(F.lit(1), F.ceil(F.col("n") / ROWS_IN_BIN)).cast("int")), "sources")
+    rows = rows.drop("source_size", "target", "epochs", "taken")
+    sources = written(targets(by_source(rows, weights), share, most), "sources")
     quality = F.greatest(F.coalesce(F.col("quality"), F.lit(1.0)), F.lit(1e-9))
-    keyed = _with_source(rows.withColumn("_key", -F.log(uniform(F.col("doc_id"), seed)) / quality), sources)
-    # 1 - e^-key is even over (0, 1) where quality is 1, and monotone in any case
-    keyed = keyed.withColumn("_bin", F.least(F.col("bins") - 1, F.floor((1 - F.exp(-F.col("_key"))) * F.col("bins"))).cast("int"))
-    sums = keyed.groupBy("source", "_bin").agg(F.sum("size").alias("_sum"))
-    before = Window.partitionBy("source").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    starts = written(sums.withColumn("_start", F.coalesce(F.sum("_sum").over(before), F.lit(0))), "bins")
-    right = starts.select(F.col("source").alias("_s"), F.col("_bin").alias("_b"), "_start")
-    if small(starts, 4 << 20):
-        right = F.broadcast(right)
-    held = keyed.join(right, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_bin") == F.col("_b"))).drop("_s", "_b")
-    within = Window.partitionBy("source", "_bin").orderBy("_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    prefix = F.col("_start") + F.coalesce(F.sum("size").over(within), F.lit(0))
+    placed = sources.select("source", "source_size", "target", F.col("start").alias("_mix_start"))
+    keyed = _with_source(rows.withColumn("_mix_key", -F.log(uniform(F.col("doc_id"), seed)) / quality), placed)
+    order = [F.col("source").asc_nulls_last(), *map(F.col, ("_mix_key", "doc_id", "size"))]
+    held = numbered(keyed, order, "_mix_rank", {"_mix_before": "size"}, size_of=rows, one_task=ONE_TASK_BYTES)
     epochs = F.floor(F.col("target") / F.nullif(F.col("source_size"), F.lit(0)) + 1e-9)
-    left = F.round(F.col("target") - epochs * F.col("source_size")).cast("long") - prefix
+    left = F.round(F.col("target") - epochs * F.col("source_size")).cast("long") - (F.col("_mix_before") - F.col("_mix_start"))
     part = F.least(F.greatest(left, F.lit(0)), F.col("size"))
     if not split_last:
         part = F.when(2 * left > F.col("size"), F.col("size")).otherwise(F.lit(0))
     taken = F.coalesce(epochs * F.col("size") + part, F.lit(0)).cast("long")
-    return held.withColumns({"epochs": F.coalesce(epochs, F.lit(0)).cast("int"), "taken": taken}).drop("_key", "_bin", "_start", "bins", "n", "weight")
+    return held.withColumns({"epochs": F.coalesce(epochs, F.lit(0)).cast("int"), "taken": taken}).drop("_mix_key", "_mix_rank", "_mix_before", "_mix_start")
 
 
 def sized(docs: DataFrame, text: str = "text") -> DataFrame:
