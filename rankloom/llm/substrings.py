@@ -30,7 +30,7 @@ from rankloom.session import written
 
 LENGTH, GRAM = 100, 32
 #: Bytes of text that are handled together; bytes and windows that are cut out together.
-BLOCK, CUT_BYTES, CUT_WINDOWS = 3 << 20, 2 << 20, 50_000
+BLOCK, CUT_BYTES, CUT_WINDOWS = 2 << 20, 2 << 20, 50_000
 #: Classes of one string in a block, and in all, beyond which its windows are dealt by their own hash.
 HOT, HOT_IN_ALL = 64, 1024
 MULTIPLIER = 0x9E3779B97F4A7C15
