@@ -9,6 +9,7 @@ import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from rankloom.llm import common, lines, simhash, spotsigs, substrings
 from rankloom.llm.common import components
@@ -34,6 +35,8 @@ def test_spotsigs_follow(spark, docs, corpus, none):
         own, edited, following = (set(spotsigs.spot_signatures(x).tolist()) for x in (t, new, after))
         assert r["near_edited"] == pytest.approx(len(own & edited) / len(own | edited))
         assert r["near_next"] == pytest.approx(len(own & following) / len(own | following))
+        shown, changed = (set(spotsigs.signatures_of(r[k]).tolist()) for k in ("fingerprint", "edited_fingerprint"))
+        assert (shown, changed) == (own, edited) and r["near_edited"] == pytest.approx(len(shown & changed) / len(shown | changed))
     assert got[101]["fingerprint"] == got[102]["fingerprint"] == got[10]["fingerprint"] != got[130]["fingerprint"]
     assert spotsigs.compared_with_following(none).count() == 0
     one = spark.createDataFrame([(7, "a b")], "doc_id long, text string")
@@ -48,13 +51,33 @@ def test_spot_signatures():
     assert len(spotsigs.spot_signatures("the river stone of cloud paper")) == 2
 
 
-def test_spot_matches(docs, corpus):
+def test_spot_classes(spark, docs, corpus, links):
+    """Through the rows of op1: components of likeness at 0.8, against all pairs."""
     sets = {i: frozenset(spotsigs.spot_signatures(t).tolist()) for i, t, *_ in corpus}
-    first = {}
-    for i in sorted(sets):
-        first.setdefault(sets[i], i)
-    expected = {i: (first[s], sum(len(s & o) >= 0.8 * len(s | o) for o in first if o != s)) for i, s in sets.items()}
-    assert {r[0]: (r[1], r[2]) for r in spotsigs.spot_matches(docs).collect()} == expected
+    union = links(sets)
+    for a, b in itertools.combinations(sorted(sets), 2):
+        if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+            union.join(a, b)
+    assert {r["doc_id"]: r["class_id"] for r in spotsigs.compared_with_following(docs).collect()} == {i: union.find(i) for i in sets}
+    rows = [(None, "the river stone and the cloud paper"), (3, "the river stone and the cloud paper"), (3, "of other words this time"), (4, None), (5, ""), (6, "of other words this time")]
+    got = {(r["id"], r["class_id"]) for r in spotsigs.spot_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(None, None), (3, None), (4, 4), (5, 4), (6, 3)}
+
+
+@pytest.mark.parametrize("n", [5, 40])
+def test_spanning_pairs(links, n):
+    """With and without the index: what is connected, and only true links."""
+    rng = np.random.default_rng(n)
+    base = [np.sort(rng.choice(10**6, 60, replace=False)) for _ in range(4)]
+    sets = [np.unique(np.concatenate([rng.choice(base[i % 4], 56, replace=False), rng.choice(10**6, int(rng.integers(0, 9)))])) for i in range(n)] + [np.empty(0, np.int64)] * 2
+    brute, mine = links(range(len(sets))), links(range(len(sets)))
+    true = [(i, j) for i, j in itertools.combinations(range(len(sets)), 2) if len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j]))]
+    for i, j in true:
+        brute.join(i, j)
+    for i, j in common.spanning_pairs(sets, 0.8):
+        assert (min(i, j), max(i, j)) in true
+        mine.join(i, j)
+    assert [mine.find(i) for i in range(len(sets))] == [brute.find(i) for i in range(len(sets))]
 
 
 def removed(texts):
@@ -102,9 +125,13 @@ def test_substrings_of_runs(spark):
     assert substring_rows(spark.createDataFrame(list(texts.items()), "doc_id long, text string")) == removed(texts)
 
 
+def grams(form):
+    return {form[i : i + 8] for i in range(max(1, len(form) - 7))}
+
+
 def test_lines(docs, corpus, none, links):
     forms = sorted((i, no, f) for i, t, *_ in corpus for no, f in lines.compared_lines(t))
-    sets = {f: lines.shingles(f) for _, _, f in forms}
+    sets = {f: grams(f) for _, _, f in forms}
     union = links(sets)
     for a, b in itertools.combinations(sets, 2):
         if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
@@ -131,6 +158,72 @@ def test_short_lines(spark):
     assert got == {1: (texts[1], 0), 2: ("\n \t\nHome", 2), 3: ("你好。\n再见了。", 1), 4: ("about it", 1), 5: ("menus", 1)}
 
 
+def test_lines_of_repeated_ids(spark):
+    """Texts of one id are told apart, equal rows are one document, a null id is the least; extra columns stay."""
+    rows = [(7, "the same old line\nfirst"), (7, "the same old line\nsecond and more\nthird"), (7, "the same old line\nfirst"), (None, "first\nnew"), (8, "third\n" + "x" * 100_000 + "\nlast"), (9, "x" * 100_000 + "\nLAST")]
+    df = spark.createDataFrame([(i, t, "a", 1, "b") for i, t in rows], "doc_id long, text string, k string, n int, doc string")
+    got = lines.without_near_lines(df).collect()
+    assert len(got) == 6 and all((r["k"], r["n"], r["doc"]) == ("a", 1, "b") for r in got)
+    by = {(r["doc_id"], r["_n_lines"]): r["text"] for r in got}
+    assert by[None, 2] == "first\nnew" and by[9, 2] == ""
+    sevens = [r["text"] for r in got if r["doc_id"] == 7]
+    assert sum("first" in t for t in sevens) == 0  # it is in the document with the least id
+    whole = [t for t in sevens if "same old" in t]
+    assert len(set(whole)) == 1 and len(whole) in (1, 2)
+    assert sum("third" in r["text"] for r in got) == 1
+
+
+def edited_words(rng, words, n):
+    """The words with n of them replaced, alone or together."""
+    out, at = list(words), rng.choice(len(words), n, replace=False) if rng.random() < 0.5 else np.arange(n) + rng.integers(0, len(words) - n + 1)
+    for i in at:
+        out[i] = f"z{rng.integers(0, 10**6)}"
+    return out
+
+
+def test_recall_of_lines(spark):
+    """Of pairs of lines at a Jaccard of 0.80 to 0.85 nine in ten are found at least."""
+    rng = np.random.default_rng(3)
+    rows, want = [], 0
+    for d in range(3000):
+        words = [f"w{x}" for x in rng.integers(0, 10**6, int(rng.integers(25, 60)))]
+        copy = edited_words(rng, words, int(rng.integers(1, 4)))
+        a, b = (" ".join(w) for w in (words, copy))
+        j = len(grams(a) & grams(b)) / len(grams(a) | grams(b))
+        if 0.80 <= j <= 0.85:
+            rows += [(2 * d, a), (2 * d + 1, b)]
+            want += 1
+    found = sum(r["_n_removed"] for r in lines.without_near_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert want > 500 and 0.95 * want <= found <= want
+
+
+def test_recall_of_near_duplicates(spark):
+    """The same for documents and shingles of five words."""
+    rng = np.random.default_rng(4)
+    rows, want = [], 0
+    for d in range(2500):
+        words = [f"w{x}" for x in rng.integers(0, 10**6, int(rng.integers(150, 400)))]
+        n = int(len(words) * 0.19)
+        copy = words[: len(words) - n] if d % 3 == 0 else edited_words(rng, words, int(len(words) * 0.021)) if d % 3 == 1 else words[: len(words) - n // 2] + [f"v{x}" for x in rng.integers(0, 10**6, n // 2)]
+        a, b = (set(zip(*(w[k:] for k in range(5)), strict=False)) for w in (words, copy))
+        if 0.80 <= len(a & b) / len(a | b) <= 0.85:
+            rows += [(2 * d, " ".join(words)), (2 * d + 1, " ".join(copy))]
+            want += 1
+    found = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).filter("id <> component_id").count()
+    assert want > 500 and 0.95 * want <= found <= want
+
+
+@pytest.mark.parametrize("bits", [1 << 25, 1 << 12])
+def test_maybe_among(spark, monkeypatch, bits):
+    """No key is lost, whatever the filter's size, and a large filter leaves few others."""
+    monkeypatch.setattr(common, "FILTER_BITS", bits)
+    df = spark.range(20_000).withColumn("h", F.xxhash64("id"))
+    keys = df.filter("id % 100 = 3").select("h")
+    got = {r["id"] for r in common.maybe_among(df, F.col("h"), keys).collect()}
+    assert {*range(3, 20_000, 100)} <= got and (bits < 1 << 20 or len(got) < 250)
+    assert common.maybe_among(df, F.col("h"), keys.filter("false")).count() == 0
+
+
 def fingerprint(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
     if not words:

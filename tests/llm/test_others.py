@@ -1,5 +1,6 @@
 """Mixing, tokens, packing, pages, language, quality and the pipeline."""
 
+import itertools
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -13,8 +14,9 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from rankloom.llm import html, language, mixing, packing, quality, tokens
+from rankloom.llm import html, language, lines, mixing, packing, quality, simhash, tokens
 from rankloom.llm.common import new_path
+from rankloom.session import written
 
 DATA = "/root/testdata/sf0.001"
 VOCABULARY = tokens.vocabulary_path()
@@ -47,15 +49,36 @@ def test_mixing(spark, docs, corpus, none):
     assert mixing.mix(mixing.sized(none)).count() == 0
 
 
-def test_mixing_without_broadcast_and_with_many_bins(docs, monkeypatch):
+@pytest.mark.parametrize("joined", [False, True])
+def test_mixing_by_ranges(docs, monkeypatch, joined):
     rows = mixing.sized(docs)
     whole = {(r["doc_id"], r["taken"]) for r in mixing.mix(rows).collect()}
-    monkeypatch.setattr(mixing, "small", lambda df, most=0: False)
-    assert {(r["doc_id"], r["taken"]) for r in mixing.mix(rows).collect()} == whole
-    monkeypatch.setattr(mixing, "ROWS_IN_BIN", 3)
+    monkeypatch.setattr(mixing, "ONE_TASK_BYTES", 0)
+    if joined:
+        monkeypatch.setattr(mixing, "small", lambda df, most=0: False)
     assert {(r["doc_id"], r["taken"]) for r in mixing.mix(rows).collect()} == whole
 
 
+def test_mixing_of_uneven_qualities(spark, monkeypatch):
+    """Qualities from 0.01 to 1 in one hot source and two small ones: ranges stay even, totals are met, columns of clashing
+    names stay, and those of the added names are replaced."""
+    monkeypatch.setattr(mixing, "ONE_TASK_BYTES", 0)
+    seen = []
+    from rankloom.operators import numbering
+
+    monkeypatch.setattr(numbering, "written", lambda df, *a: seen.append(kept := written(df, *a)) or kept)
+    source = F.when(F.col("id") % 10 < 8, "hot").when(F.col("id") % 10 == 8, "b")
+    rows = spark.range(8000).select(F.col("id").alias("doc_id"), source.alias("source"), (F.col("id") % 50).alias("size"), (F.col("id") % 97 / 97 * 0.99 + 0.01).alias("quality"), F.lit("x").alias("target"), F.lit(1).alias("n"), F.lit(2).alias("weight"), F.lit(3).alias("bins"), F.lit(4).alias("start"))
+    got = mixing.mix(rows).toPandas()
+    assert len(got) == 8000 and set(got["n"]) == {1} and set(got["weight"]) == {2} and set(got["bins"]) == {3} and set(got["start"]) == {4}
+    for _, own in got.fillna({"source": ""}).groupby("source"):
+        assert abs(own["taken"].sum() - own["target"].iloc[0]) <= 1
+    ranges = [r["count"] for r in seen[-1].groupBy("_numbered_range").count().collect()]
+    assert max(ranges) < 2 * 8000 / len(ranges) and len(ranges) >= 4
+    better = got[(got["source"] == "b") & (got["size"] > 0)]
+    assert better[better["taken"] > better["size"]]["quality"].mean() > better[better["taken"] <= better["size"]]["quality"].mean()
+
+
 def test_targets(spark):
     sources = spark.createDataFrame([("a", 10, 3.0), ("b", 1000, 1.0), ("c", 100, 2.0), ("d", 0, 3.0)], "source string, source_size long, weight double")
     got = {r["source"]: r["target"] for r in mixing.targets(sources).collect()}
@@ -79,6 +102,16 @@ def test_encoder(tokenizer, corpus):
     assert [np.frombuffer(b, "<u4").tolist() for b in got] == [tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
 
 
+def test_encoder_of_another_vocabulary(corpus):
+    from tokenizers import Tokenizer
+
+    path = tokens.vocabulary_path("byte_bpe_50k.json")
+    texts = [*ODD, *[t for _, t, *_ in corpus], "Mixed CASE  and\n\nspace"]
+    whole = Tokenizer.from_file(path)
+    assert not tokens.Encoder(path).by_pieces and tokens.Encoder(VOCABULARY).by_pieces
+    assert [np.frombuffer(b, "<u4").tolist() for b in tokens.Encoder(path).encode(texts)] == [whole.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(st.characters(blacklist_categories=["Cs"]), max_size=20))
 def test_encoder_on_any_text(text):
@@ -99,6 +132,28 @@ def test_small_caches_change_nothing(monkeypatch, corpus):
     assert [enc.encode([t])[0] for t in texts] == whole
 
 
+def test_token_file_footers(spark, docs, tmp_path):
+    """Ids by dictionary, numbers without one, page indexes, several pages, and row groups within their limit."""
+    import pyarrow.parquet as pq
+
+    path = str(tmp_path / "tokens")
+    tokens.write_token_files(docs, path, VOCABULARY, 1)
+    seen = 0
+    for file in (tmp_path / "tokens").glob("*.parquet"):
+        meta = pq.ParquetFile(file).metadata
+        for g in range(meta.num_row_groups):
+            assert meta.row_group(g).total_byte_size <= 64 << 20
+            columns = {meta.row_group(g).column(i).path_in_schema.split(".")[0]: meta.row_group(g).column(i) for i in range(meta.num_columns)}
+            assert any("DICTIONARY" in e for e in columns["ids"].encodings)
+            for name in ("doc_id", "first", "n_tokens"):
+                assert columns[name].encodings and not any("DICTIONARY" in e for e in columns[name].encodings)
+                assert "DELTA_BINARY_PACKED" in columns[name].encodings
+            assert all(c.has_column_index and c.has_offset_index for n, c in columns.items() if n != "ids")
+            assert columns["ids"].has_offset_index
+            seen += meta.row_group(g).num_rows
+    assert seen == docs.count()
+
+
 def test_token_files(spark, docs, corpus, none, tokenizer):
     path = new_path(spark, "tokens")
     tokens.write_token_files(docs, path, VOCABULARY, 1)
@@ -132,10 +187,14 @@ def test_packing_plan(counts):
             ranks[length].append(r)
     assert {k: sorted(v) for k, v in ranks.items()} == {k: list(range(n)) for k, n in counts.items()}
     assert all(taken[s] == set(range(n)) and n <= 32 for s, n in bins.items())
-    # first-fit bound: at most 11/9 of the least, and 1
-    least = -(-sum(k * n for k, n in counts.items()) // 32)
-    big = sum(n for k, n in counts.items() if k > 16)
-    assert len(bins) <= max(least, big) * 1.5 + 1
+    # as many as best-fit decreasing makes, a piece at a time
+    rooms = []
+    for length in sorted((k for k, n in counts.items() for _ in range(n)), reverse=True):
+        fit = [r for r in rooms if r >= length]
+        if fit:
+            rooms.remove(min(fit))
+        rooms.append((min(fit) if fit else 32) - length)
+    assert len(bins) == len(rooms)
 
 
 def test_packed_documents(docs, corpus, none, tokenizer):
@@ -176,9 +235,24 @@ def test_pages(spark, none):
     assert html.main_text(df.filter("false")).count() == 0
 
 
-@pytest.mark.parametrize("known", [True, False])
-def test_host_passages(spark, monkeypatch, known):
-    monkeypatch.setattr(html, "small", lambda df, most=0: known)
+KEPT = [
+    # names within an article: the last word of a compound decides, elsewhere any
+    ("<article><h1>Prices</h1><p class='share-price'>Shares rose.</p><section id='social-history'>Old times.</section><div class='reader-comments'>no</div><div class='ad-slot'>no</div><p class='x comments'>no</p></article>", "Prices Shares rose. Old times."),
+    # a small article is not all there is, and teasers are not the article
+    ("<p>before the article</p><article>short</article><p>and much text after it</p>", "before the article short and much text after it"),
+    ("<article><p>a long article of very many words about one thing</p></article><article>a teaser</article><div class='share-price'>no</div>", "a long article of very many words about one thing"),
+    ("<main><h1>T</h1><article>one two three</article><article>four five six</article></main>", "one two three four five six"),
+]
+
+
+@pytest.mark.parametrize("page,text", KEPT)
+def test_what_is_kept(page, text):
+    assert " ".join(html.chosen(page)[0]) == text
+
+
+@pytest.mark.parametrize("block", [4_000_000, 1])
+def test_host_passages(spark, monkeypatch, block):
+    monkeypatch.setattr(html, "BLOCK_CHARS", block)
     same = "subscribe here for all of our daily news and more of it"
     rows = [(i, "http://one.org/a", f"<div>{same}</div><div>{i} own text of this page</div>") for i in range(3)]
     rows += [(9, "http://two.org/", f"<div>{same}</div>"), (10, None, f"<div>{same}</div>")]
@@ -186,16 +260,50 @@ def test_host_passages(spark, monkeypatch, known):
     assert got == {**{i: f"{i} own text of this page" for i in range(3)}, 9: same, 10: same}
 
 
-@pytest.mark.parametrize("known", [True, False])
-def test_copies_of_a_page_are_one_page(spark, monkeypatch, known):
+@pytest.mark.parametrize("block", [4_000_000, 1])
+def test_copies_of_a_page_are_one_page(spark, monkeypatch, block):
     """Three copies of a page without article or main keep their text, and so does a page of repeated passages alone."""
-    monkeypatch.setattr(html, "small", lambda df, most=0: known)
+    monkeypatch.setattr(html, "BLOCK_CHARS", block)
     body = "the only copy of this text is what the page has to say today"
     menu = "subscribe here for all of our daily news and more of it"
     rows = [(i, "http://one.org/a", f"<div>{body}</div>") for i in range(3)] + [(3 + i, None, f"<div>{body}</div><div>x{i}</div>" if i == 3 else f"<div>{body}</div>") for i in range(4)]
-    rows += [(10 + i, "http://two.org/", f"<div>{menu}</div><div>{i} own text</div>") for i in range(3)] + [(13, "http://two.org/b", f"<div>{menu}</div>")]
-    got = {r["page_id"]: r["text"] for r in html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert got == {**{i: body for i in range(6)}, 6: f"{body} x3", **{10 + i: f"{i} own text" for i in range(3)}, 13: menu}
+    rows += [(10 + i, "http://two.org/", f"<div>{menu}</div><div>{i} own text</div>") for i in range(3)] + [(13, "http://two.org/b", f"<div>{menu}</div>"), (13, "http://two.org/b", f"<div>{menu}</div>")]
+    df = spark.createDataFrame([(*r, "h", 5) for r in rows], "page_id long, url string, html string, host string, d int")
+    found = html.main_text(df).collect()
+    assert len(found) == len(rows)
+    assert {r["page_id"]: r["text"] for r in found} == {**{i: body for i in range(6)}, 6: f"{body} x3", **{10 + i: f"{i} own text" for i in range(3)}, 13: menu}
+    assert all(r["n_chars"] == len(r["text"]) for r in found)
+
+
+@pytest.mark.parametrize("block", [4_000_000, 900])
+def test_unique_runs_against_all_windows(spark, monkeypatch, block):
+    """Pages without article or main of one large and two small hosts, with passages that some of them share."""
+    import random
+
+    monkeypatch.setattr(html, "BLOCK_CHARS", block)
+    rng = random.Random(6)
+    passages = [[f"p{k}w{rng.randint(0, 3)}{i}" for i in range(n)] for k, n in enumerate((7, 8, 9, 30, 60, 12))]
+    pages = []
+    for i in range(90):
+        words = []
+        for _ in range(rng.randint(0, 5)):
+            words += rng.choice(passages)[: rng.choice((7, 8, 20, 99))] if rng.random() < 0.6 else [f"u{rng.randint(0, 400)}" for _ in range(rng.randint(1, 15))]
+        pages.append((i, f"https://h{max(0, i % 7 - 4)}.org/x", " ".join(words)))
+    seen = defaultdict(set)
+    for _, url, t in pages:
+        w = t.split()
+        for k in range(len(w) - 7):
+            seen[url, tuple(w[k : k + 8])].add(t)
+    want = {}
+    for i, url, t in pages:
+        w, gone = t.split(), set()
+        for k in range(len(w) - 7):
+            if len(seen[url, tuple(w[k : k + 8])]) >= 3:
+                gone |= {*range(k, k + 8)}
+        want[i] = " ".join(x for k, x in enumerate(w) if k not in gone) or t
+    df = spark.createDataFrame([(i, u, f"<body><div>{t}</div></body>") for i, u, t in pages], "page_id long, url string, html string")
+    assert {r["page_id"]: r["text"] for r in html.main_text(df).collect()} == want
+    assert sum(want[i] != t for i, _, t in pages) > 20
 
 
 def test_marginals_against_all_paths():
@@ -259,7 +367,9 @@ def test_too_many_languages(docs, monkeypatch):
 
 def test_language_cases(docs, none):
     model = language.train(docs, F.lit(False))
-    got = {r["id"]: (r["lang_pred"], r["score"]) for r in language.identified(docs, model).collect()}
+    out = language.identified(docs.unionAll(docs).withColumn("score", F.lit("clash")), model)
+    assert out.count() == 2 * docs.count() and out.columns == [*docs.columns, "lang_pred", "score"]
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in out.collect()}
     assert {got[i] for i in (105, 106, 107, 108)} == {("und", 0.0)}
     assert {v[0] for v in got.values()} <= {"en", "xx", "und"}
     assert language.train(none, F.lit(False)) is None
@@ -316,3 +426,54 @@ def test_pipeline_of_odd_rows(spark, docs, none):
         for name, stage in corpus_pipeline.STAGES:
             df = corpus_pipeline.written(stage(spark, df, DATA), name)
         df.count()
+
+
+def test_stages_against_brute_force(spark, docs, corpus, links, tokenizer):
+    """Each stage's rows on the corpus, with repeated rows, against plain Python."""
+    base = docs.select(corpus_pipeline.COLUMNS)
+    base = corpus_pipeline.written(base.unionAll(base.filter("doc_id in (4, 101)")), "base")
+    rows = lambda df: sorted((r["doc_id"], r["text"], r["n_chars"]) for r in df.collect())
+    twice = [(i, t) for i, t, *_ in corpus] + [(i, t) for i, t, *_ in corpus if i in (4, 101)]
+
+    model = language.train(base, language.in_held_out_fold(F.col("doc_id")))
+    langs = dict(zip([t for _, t in twice], zip(*language.predict(model, [t for _, t in twice]), strict=True), strict=True))
+    want = sorted((i, t, len(t)) for i, t in twice if langs[t][0] != "und" and langs[t][1] >= corpus_pipeline.LEAST_SHARE)
+    first = corpus_pipeline.written(corpus_pipeline.language(spark, base, DATA), "first")
+    assert rows(first) == want and first.count() < len(twice)
+
+    grams = lambda f: {f[k : k + 8] for k in range(max(1, len(f) - 7))}
+    forms = sorted({(i, no, f) for i, t, _ in want for no, f in lines.compared_lines(t)})
+    sets = {f: grams(f) for *_, f in forms}
+    union = links(sets)
+    for a, b in itertools.combinations(sets, 2):
+        if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+            union.join(a, b)
+    seen, gone = set(), set()
+    for i, no, f in forms:
+        gone |= {(i, no)} if union.find(f) in seen else set()
+        seen.add(union.find(f))
+    cut = [(i, "\n".join(x for no, x in enumerate(t.split("\n")) if (i, no) not in gone), t) for i, t, _ in want]
+    want = sorted((i, t, len(t)) for i, t, whole in cut if t == whole or t.split())
+    second = corpus_pipeline.written(corpus_pipeline.line_dedup(spark, first, DATA), "second")
+    assert rows(second) == want
+
+    third = corpus_pipeline.written(corpus_pipeline.near_dedup(spark, first, DATA), "third")  # of what still has copies
+    texts = {r["doc_id"]: r["text"] for r in first.collect()}
+    sets = {i: frozenset(simhash.shingle_hashes(t, 5).tolist()) for i, t in texts.items()}
+    union = links(sets)
+    for a, b in itertools.combinations(sorted(sets), 2):
+        if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+            union.join(a, b)
+    assert {r["doc_id"] for r in third.collect()} == {i for i in sets if union.find(i) == i} != set(sets)
+
+    fourth = corpus_pipeline.written(corpus_pipeline.mixing(spark, second, DATA), "fourth")
+    plan = {r["doc_id"]: r for r in mixing.mix(mixing.sized(second).groupBy("doc_id").agg(F.min("source").alias("source"), F.sum("size").alias("size"), F.avg("quality").alias("quality")), split_last=False).collect()}
+    n = Counter(r["doc_id"] for r in second.collect())
+    assert Counter(r["doc_id"] for r in fourth.collect()) == {i: n[i] * (r["taken"] // r["size"]) for i, r in plan.items() if r["size"] and r["taken"]}
+
+    last = corpus_pipeline.packing(spark, fourth, DATA).collect()
+    pieces = Counter()
+    for r in fourth.collect():
+        ids = [*tokenizer.encode(r["text"], add_special_tokens=False).ids, 0]
+        pieces.update((r["doc_id"], k, len(ids[2048 * k : 2048 * (k + 1)])) for k in range(-(-len(ids) // 2048)))
+    assert Counter((r["doc_id"], r["piece"], r["length"]) for r in last) == pieces
