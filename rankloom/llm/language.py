@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from rankloom.llm.common import documents
+from rankloom.llm.common import documents, released
 
 #: The training sample: so many documents of each language at most, a window of so many characters of each.
 SAMPLE_DOCS, SAMPLE_CHARS = 400, 1500
@@ -241,12 +241,13 @@ def identified(df: DataFrame, model: Model | None, text: str = "text", keep: lis
     shown = df.select(*(F.col(f"`{c}`") for c in keep), *([] if text in keep else [F.col(text).alias("_language_text")]))
     at = keep.index(text) if text in keep else len(keep)
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             langs, scores = np.full(b.num_rows, UNKNOWN, dtype=object), np.zeros(b.num_rows)
             sizes = np.asarray(pc.binary_length(b.column(at)).fill_null(0))
             order = np.argsort(-sizes, kind="stable")  # texts of about one length take about as many steps
-            for part in np.split(order, np.flatnonzero(np.diff(np.cumsum(sizes[order]) // 4_000_000)) + 1):
+            for part in np.split(order, np.flatnonzero(np.diff(np.cumsum(sizes[order]) // 1_000_000)) + 1):
                 if held.value is not None:
                     langs[part], scores[part] = predict(held.value, b.column(at).take(pa.array(part)).to_pylist())
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(langs, pa.string()), pa.array(scores)], names=[*keep, "lang_pred", "score"])

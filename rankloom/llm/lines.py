@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import components, documents, in_parts, maybe_among, spanning_pairs
+from rankloom.llm.common import components, documents, in_parts, maybe_among, released, spanning_pairs
 from rankloom.llm.tokens import batches_of
 from rankloom.session import written
 
@@ -131,6 +131,7 @@ def scanned_lines(docs: DataFrame) -> DataFrame:
     as bytes, at its first place in a batch. A line under SHINGLE characters is its only shingle: it is like none but its
     equals, which have its key, and has no bands."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for a, texts in batches_of(b.column(2), 4_000_000):
@@ -166,6 +167,7 @@ def shared_buckets(lines: DataFrame) -> DataFrame:
     repeats within a batch counts once there, so a hot line reaches a task once for each batch."""
     parts = in_parts(lines)
 
+    @released
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             pairs = np.empty(b.num_rows * BANDS, dtype=PAIR)
@@ -177,6 +179,7 @@ def shared_buckets(lines: DataFrame) -> DataFrame:
             some = np.flatnonzero(np.diff(edges)).tolist()
             yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([pairs[order[edges[p] : edges[p + 1]]].tobytes() for p in some], pa.binary())], names=["part", "pairs"])
 
+    @released
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, part = [], None
 
@@ -225,6 +228,7 @@ def verified_links(docs: DataFrame, places: DataFrame, buckets: DataFrame) -> Da
     some = maybe_among(docs, F.xxhash64("doc", "tie"), places.select(F.xxhash64("doc", "tie")))
     joined = some.join(wanted, ["doc", "tie"]).select("text", *(F.col("w")[c].alias(c) for c in ("no", "k", "bucket", "i", "j")))
 
+    @released
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for a, texts in batches_of(b.column(0), 4_000_000):
@@ -238,6 +242,7 @@ def verified_links(docs: DataFrame, places: DataFrame, buckets: DataFrame) -> Da
 
     rows = joined.mapInArrow(lines, "bucket long, i int, j int, k long, form string").repartition(parts, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "k")
 
+    @released
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell, keys, sets, out = None, [], [], []
 

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import documents
+from rankloom.llm.common import documents, released
 from rankloom.llm.tokens import batches_of, encoder, vocabulary_path
 from rankloom.operators.numbering import small
 from rankloom.session import written
@@ -92,6 +92,7 @@ def pack(pieces: DataFrame, capacity: int, keys: tuple[str, ...] = ("doc_id", "p
 def token_pieces(df: DataFrame, capacity: int, vocabulary: str, end_id: int) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of each row's ids and end id, cut after every capacity ids."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary)
         tail = np.array([end_id], dtype="<u4").tobytes()

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import components, documents, in_parts, maybe_among, spanning_pairs
+from rankloom.llm.common import components, documents, in_parts, maybe_among, released, spanning_pairs
 from rankloom.llm.tokens import batches_of
 from rankloom.session import written
 
@@ -54,6 +54,7 @@ def signed(x: int) -> int:
 def with_fingerprint(df: DataFrame, size: int = 3, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, fp): the fingerprint as a signed 64-bit integer. A null or empty text has 0."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = []
@@ -129,6 +130,7 @@ def links(reps: DataFrame, radius: int, spanning: bool = True) -> DataFrame:
     n = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
     dealt = rows.repartition(n, "table", "key").sortWithinPartitions("table", "key", "node")
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # the bucket that the next batch may go on with
 
@@ -211,6 +213,7 @@ def band_keys(hashes: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.nd
 def digests(docs: DataFrame) -> DataFrame:
     """(id, same, fp, n, bands): same tells equal texts, null as empty; n: how many different shingles a text has."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for a, texts in batches_of(b.column(1), 4_000_000):
@@ -242,6 +245,7 @@ def band_links(reps: DataFrame, least: float = LEAST) -> DataFrame:
     by more than 1 / least: no sets from both sides reach least. Keys and nodes travel as packed arrays."""
     parts = in_parts(reps)
 
+    @released
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keys = np.frombuffer(b"".join(b.column(2).to_pylist()), dtype=np.uint32)
@@ -255,6 +259,7 @@ def band_links(reps: DataFrame, least: float = LEAST) -> DataFrame:
             some = np.flatnonzero(np.diff(edges)).tolist()
             yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([pairs[order[edges[p] : edges[p + 1]]].tobytes() for p in some], pa.binary())], names=["part", "pairs"])
 
+    @released
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, part = [], None
 
@@ -290,6 +295,7 @@ def verified_groups(docs: DataFrame, members: DataFrame, hashes: Callable[[str |
     spark = docs.sparkSession
     parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
+    @released
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for a, texts in batches_of(b.column(1), 4_000_000):
@@ -305,6 +311,7 @@ def verified_groups(docs: DataFrame, members: DataFrame, hashes: Callable[[str |
     texts = some.mapInArrow(sets, f"node long, sh array<{'int' if kind is np.int32 else 'long'}>")
     rows = dealt.join(texts, "node").select("g", "cell.i", "cell.j", "node", "sh").repartition(parts, "g", "i", "j").sortWithinPartitions("g", "i", "j", "node")
 
+    @released
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell, held, sets, out = None, [], [], []
 

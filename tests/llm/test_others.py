@@ -477,3 +477,31 @@ def test_stages_against_brute_force(spark, docs, corpus, links, tokenizer):
         ids = [*tokenizer.encode(r["text"], add_special_tokens=False).ids, 0]
         pieces.update((r["doc_id"], k, len(ids[2048 * k : 2048 * (k + 1)])) for k in range(-(-len(ids) // 2048)))
     assert Counter((r["doc_id"], r["piece"], r["length"]) for r in last) == pieces
+
+
+def test_workers_give_memory_back():
+    """What a kernel has freed goes back to the system when its task ends, also where a later piece holds the heap's end;
+    its batches go out in slices."""
+    import re
+    from pathlib import Path
+
+    import pyarrow as pa
+
+    from rankloom.llm.common import OUT_BYTES, released
+
+    def held():
+        return sum(map(int, re.findall(r"\nPss_Anon:\s+(\d+)", Path("/proc/self/smaps_rollup").read_text()))) / 1024
+
+    kept = []
+
+    def run(batches):
+        pieces = [b"x" * 20_000 for _ in range(15_000)]  # 300 MB of pieces of the heap
+        kept.append(b"y" * 20_000)
+        yield from batches
+        del pieces
+
+    before = held()
+    batch = pa.RecordBatch.from_arrays([pa.array([str(i) * 1000 for i in range(3000)])], names=["x"])
+    out = list(released(run)(iter([batch, batch.slice(0, 1), batch.slice(0, 0)])))
+    assert held() - before < 100
+    assert pa.Table.from_batches(out) == pa.Table.from_batches([batch, batch.slice(0, 1)]) and max(b.nbytes for b in out) < 2 * OUT_BYTES
