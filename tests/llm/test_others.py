@@ -306,6 +306,34 @@ def test_unique_runs_against_all_windows(spark, monkeypatch, block):
     assert sum(want[i] != t for i, _, t in pages) > 20
 
 
+@pytest.mark.parametrize("limit", [1_000_000, 6000])
+def test_articles_go_through_the_host_step(spark, monkeypatch, limit):
+    """What most articles of a host have goes, wherever it stands; what fewer have, parts of a block, hosts of few pages and
+    articles of template text alone stay. Copies are one page."""
+    monkeypatch.setattr(html, "ARTICLE_CHARS", limit)
+    note, common = "write to us for all of our daily news and more of it", "a line of nine words that some articles happen to share"
+    want, rows = {}, []
+    for i in range(60):
+        own = f"{i} own text of this page, number {i}"
+        body = [own, note] if i % 2 else [note, own]
+        if i % 10 == 0:
+            body.append(common)
+        body.append(f"{note} and so on, {i}")
+        rows.append((i, "http://one.org/a", "<article>" + "".join(f"<p>{x}</p>" for x in body) + "</article>"))
+        want[i] = " ".join(x for x in body if x != note)
+    for i in range(60, 64):
+        rows.append((i, "http://few.org/", f"<main><p>{note}</p><p>{i}</p></main>"))
+        want[i] = f"{note} {i}"
+    for i in range(64, 72):
+        rows.append((i, "http://copies.org/", f"<article><p>{common}</p><p>{note}</p></article>"))
+        want[i] = f"{common} {note}"
+    rows.append((72, "http://one.org/b", f"<article><p>{note}</p></article>"))
+    want[72] = note
+    df = spark.createDataFrame([*rows, rows[1]], "page_id long, url string, html string")
+    found = html.main_text(df).collect()
+    assert len(found) == 74 and {r["page_id"]: r["text"] for r in found} == want
+
+
 def test_marginals_against_all_paths():
     rng = np.random.default_rng(2)
     moves = rng.normal(size=(3, 3))
