@@ -79,6 +79,16 @@ def test_mixing_of_uneven_qualities(spark, monkeypatch):
     assert better[better["taken"] > better["size"]]["quality"].mean() > better[better["taken"] <= better["size"]]["quality"].mean()
 
 
+def test_mixing_prefers_quality_where_a_source_is_cut(spark):
+    """Sources at their cap are taken twice as a whole; the one that is cut takes better documents more often."""
+    source = F.when(F.col("id") % 10 < 8, "hot").when(F.col("id") % 10 == 8, "b")
+    rows = spark.range(8000).select(F.col("id").alias("doc_id"), source.alias("source"), (F.col("id") % 50).alias("size"), (F.col("id") % 97 / 97 * 0.99 + 0.01).alias("quality"))
+    got = mixing.mix(rows).toPandas().fillna({"source": ""}).query("size > 0")
+    capped, cut = got[got["source"] != "hot"], got[got["source"] == "hot"]
+    assert (capped["taken"] == 2 * capped["size"]).all()
+    assert cut[cut["taken"] > cut["size"]]["quality"].mean() > cut[cut["taken"] <= cut["size"]]["quality"].mean() + 0.1
+
+
 def test_targets(spark):
     sources = spark.createDataFrame([("a", 10, 3.0), ("b", 1000, 1.0), ("c", 100, 2.0), ("d", 0, 3.0)], "source string, source_size long, weight double")
     got = {r["source"]: r["target"] for r in mixing.targets(sources).collect()}
